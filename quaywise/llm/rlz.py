@@ -9,7 +9,7 @@ factors (each is `window` words long at least) are the duplicate spans.
 
 A document meets every block, but no block is sent to every document. Each window of 20 words is represented by its
 least 8-gram (its anchor; neighbours mostly share it); blocks exchange their distinct anchors, and only windows whose
-anchor occurs in another block are looked up in the distributed index, as 128-bit hashes, one row for each distinct
+anchor occurs in another block are looked up in the distributed index, as 96-bit hashes, one row for each distinct
 window of a block. So a passage that a third of all documents hold is one row a block, not one a document, and what
 repeats inside a block is settled there.
 
@@ -129,35 +129,41 @@ def _blocks(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)))
 
 
-def _looked_up(blocks: DataFrame, window: int) -> DataFrame:
-    """Of each block, the windows that have an earlier copy in another block: (block, at, ref_doc, ref_at, ref_start)."""
+def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
+    """Of each block, the windows with an earlier copy in another block: (block, at, ref_at), and where the copy is: (ref_doc, ref_start).
+
+    at is a position in the block's words; ref_at has the number of the other block, plus one, in its upper half.
+    """
 
     def anchors(table: pa.Table) -> pa.Table:
         found = np.unique(Block(table, window).anchors())
         return pa.table({"block": pa.repeat(table.column("block")[0], len(found)), "anchor": _signed(found)})
 
+    kinds = [("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("place", pa.int64())] + [("start", pa.int64())] * where
+
     def seeds(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "doc", "block", "at", "start")})
+            return pa.table({k: pa.array([], t) for k, t in kinds})
         block = Block(left, window)
         shared = np.sort(right.column("anchor").to_numpy().view(np.uint64))
         least = block.anchors()
-        place = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
-        starts = block.starts[shared[place] == least]
+        near = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
+        starts = block.starts[shared[near] == least]
         a, b = block.seeds(starts)
         one = block.earliest(starts, a, b) == np.arange(len(starts))
         starts, a, b = starts[one], a[one], b[one]
-        doc = block.doc[starts]
-        return pa.table({"a": _signed(a), "b": _signed(b), "doc": pa.array(block.ids[doc]), "block": pa.repeat(left.column("block")[0], len(starts)), "at": pa.array(starts), "start": pa.array(starts - block.begins[doc])})
+        doc, place = block.doc[starts], (left.column("block")[0].as_py() << 32) + starts
+        cols = [_signed(a), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(block.ids[doc]), pa.array(place)]
+        return pa.table(dict(zip([k for k, _ in kinds], cols + [pa.array(starts - block.begins[doc])] * where, strict=True)))
 
     known = blocks.groupBy("block").applyInArrow(anchors, "block long, anchor long")
     every = W.partitionBy("anchor")
     shared = known.withColumns({"lo": F.min("block").over(every), "hi": F.max("block").over(every)}).where("lo <> hi").select("block", "anchor")
-    index = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(seeds, "a long, b long, doc long, block long, at long, start long")
-    same = W.partitionBy("a", "b").orderBy("doc", "block", "at").rowsBetween(W.unboundedPreceding, 0)
-    here = F.struct("doc", "block", "at", "start")
-    hits = index.withColumn("ref", F.first(here).over(same)).where("block <> ref.block")
-    return hits.select("block", "at", F.col("ref.doc").alias("ref_doc"), ((F.col("ref.block") + 1) * (1 << 32) + F.col("ref.at")).alias("ref_at"), F.col("ref.start").alias("ref_start"))
+    index = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(seeds, "a long, b int, doc long, place long" + ", start long" * where)
+    same = W.partitionBy("a", "b").orderBy("doc", "place").rowsBetween(W.unboundedPreceding, 0)
+    more = {"ref_doc": F.first("doc").over(same), "ref_start": F.first("start").over(same)} if where else {}
+    hits = index.withColumns({"ref": F.first("place").over(same)} | more).where("place <> ref")
+    return hits.select(F.shiftright("place", 32).alias("block"), F.col("place").bitwiseAND((1 << 32) - 1).alias("at"), (F.col("ref") + (1 << 32)).alias("ref_at"), *more)
 
 
 #: What a parse gives for each document.
@@ -193,7 +199,7 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
         if len(right):
             far = np.searchsorted(starts, right.column("at").to_numpy())
             copy[far] = True
-            for ours, name in ((ref_doc, "ref_doc"), (ref_start, "ref_start"), (ref_at, "ref_at")):
+            for ours, name in ((ref_at, "ref_at"), (ref_doc, "ref_doc"), (ref_start, "ref_start"))[: 3 if factors else 1]:
                 ours[far] = right.column(name).to_numpy()
         at = starts[copy]
         ref_doc, ref_start, ref_at = ref_doc[copy], ref_start[copy], ref_at[copy]
@@ -227,7 +233,7 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
         }
         return pa.table(cols | {f.name: left.column(f.name).take(block.order) for f in extra})
 
-    return blocks.groupBy("block").cogroup(_looked_up(blocks, window).groupBy("block")).applyInArrow(factored, schema)
+    return blocks.groupBy("block").cogroup(_looked_up(blocks, window, factors).groupBy("block")).applyInArrow(factored, schema)
 
 
 def duplicate_spans(docs: DataFrame, **how: object) -> DataFrame:

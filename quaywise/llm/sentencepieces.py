@@ -7,7 +7,7 @@ worst piece and is written as its UTF-8 bytes. No piece holds U+2581 behind anot
 of the best paths of the words, and a task keeps those of the words it has met.
 
 The public model is a byte-pair model; its pieces and scores are used as they are, so this gives the segmentation with
-the best sum of scores, which is what the library gives for the same pieces as a unigram model, not the merges.
+the best sum of scores, as the lattice of a unigram model with the same pieces has it, not that of the merges.
 
 Null texts count as empty; an empty text has no tokens. A U+2581 in the text is written as bytes, so that decoding gives
 every text back.
