@@ -10,12 +10,13 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of its Parquet files."""
     folder, name = sf_dir, "events.parquet"
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zone
 
 
-def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Number and sum of values by day and type; events later than the watermark are left out of a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+def daily(events: DataFrame, late: str | None = "1 day") -> DataFrame:
+    """Number and sum of values by day and type; a stream leaves out events later than the watermark (None: it has one)."""
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     return rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast("date").alias("date"), "event_type", "n", "total")
 
 
