@@ -43,20 +43,21 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def grams(text: str, orders: tuple[int, ...]) -> np.ndarray:
-    """The n-grams of one text as integers: 21 bits a code point, a space before the first and after the last word."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.where(_letters()[points], points, 32).astype(np.uint64)
+def grams(texts: list[str], orders: tuple[int, ...]) -> np.ndarray:
+    """The n-grams of the texts as integers: 21 bits a code point, a space before the first and after the last word of each."""
+    joint = "\1".join(f" {t.lower()} ".replace("\1", " ") for t in texts)
+    points = np.frombuffer(joint.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.where(_letters()[points] | (points == 1), points, 32).astype(np.uint64)
     space = points == 32
     points = points[~(space & np.concatenate(([False], space[:-1])))]
     if len(points) < 2:
         return np.zeros(0, np.uint64)
-    out, h = [], points
+    out, h, whole = [], points, points != 1
     for n in range(1, max(orders) + 1):
         if n > 1:
-            h = (h[:-1] << np.uint64(21)) | points[n - 1 :]
+            h, whole = (h[:-1] << np.uint64(21)) | points[n - 1 :], whole[:-1] & (points[n - 1 :] != 1)
         if n in orders:
-            out.append(h[h != 32] if n == 1 else h)
+            out.append(h[whole & (h != 32)] if n == 1 else h[whole])
     return np.concatenate(out)
 
 
@@ -98,7 +99,7 @@ def profiles(docs: DataFrame, p: LanguageParams = LanguageParams()) -> dict[str,
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 for _, some in textkit.chunks(texts, 300_000):
-                    key, n = _counts(grams(" ".join(some), p.orders))
+                    key, n = _counts(grams(some, p.orders))
                     if len(key):
                         held.setdefault(lang, []).append((key, n))
                     if sum(len(k) for k, _ in held.get(lang, [])) > p.held:
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, known: dict[str, list[int]], p: LanguageParams = La
             ranks[i, np.searchsorted(all_grams, np.array(sent.value[x], np.uint64))] = np.arange(len(sent.value[x]))
 
         def one(text: str) -> tuple[str, float]:
-            mine = top(grams(text, p.orders), p.ranks)
+            mine = top(grams([text], p.orders), p.ranks)
             if not len(mine) or not names:
                 return "und", 0.0
             at = np.searchsorted(all_grams, mine)
