@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct n-grams (2 to 5 code points of its lower-cased whole text, hashed). For each n-gram
-the log of the ratio of its smoothed shares in toxic and clean training texts is taken; n-grams whose ratio can't be
-told from chance are left out, and a logistic model is fitted on the remaining features, each scaled by its ratio.
+A text's features are the distinct n-grams (3 to 6 code points of its lower-cased whole text, hashed). For each n-gram
+the log of the ratio of its smoothed shares in toxic and clean training texts is taken; n-grams that don't differ between
+the classes beyond chance are left out, and a logistic model is fitted on the remaining features, each scaled by its
+ratio and by how often it stands in the text (words that are rare slips in clean texts are frequent in toxic ones).
 
 Null and empty texts get the score of a text without features. Where no label of either class is there to learn from,
 the score is the share of label 1 among what was learnt from (0.5 without any).
@@ -24,20 +25,24 @@ from quaywise.llm.tables import fold, labelled_sample, text_of
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_rows: labelled texts to learn from, at most; bits: log2 of the hashed features; z: standard errors by which
-    a log-count ratio must differ from 0; steps and l2: of the logistic fit."""
+    """max_rows: labelled texts to learn from, at most; bits: log2 of the hashed features; z: standard deviations by
+    which a feature's counts must differ between the classes; steps and l2: of the logistic fit."""
 
     max_rows: int = 6000
-    orders: tuple[int, ...] = (2, 3, 4, 5)
+    orders: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 20
     min_docs: int = 3
     z: float = 4.0
+    per_chars: int = 1000
     steps: int = 400
     l2: float = 1e-4
 
 
-def _features(texts: list[str], p: ToxicityParams, keep: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the text, its distinct features), of those that `keep` marks."""
+def _features(texts: list[str], p: ToxicityParams, keep: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the text, its distinct features, their strengths), of those that `keep` marks.
+
+    A feature's strength is log2(1 + its occurrences in a thousand characters), a text of less counting as a thousand.
+    """
     pad = max(p.orders) - 1
     for first, some in textkit.chunks([t.lower() for t in texts]):
         points, starts, lengths = textkit.padded(some, pad)
@@ -54,13 +59,23 @@ def _features(texts: list[str], p: ToxicityParams, keep: np.ndarray | None) -> I
             for i, part in zip(np.unique(doc), np.split(h[at], np.flatnonzero(np.diff(doc)) + 1), strict=False):
                 found[i].append(part)
         for i, parts in enumerate(found):
-            yield first + i, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+            f, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0))
+            yield first + i, f, np.log2(1 + n * (p.per_chars / max(lengths[i], p.per_chars)))
+
+
+def _certainty(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Root of the likelihood-ratio statistic of each feature against the classes, in standard deviations."""
+    have, out = counts.sum(axis=0), np.zeros(counts.shape[1])
+    for c in (0, 1):
+        for observed, total in ((counts[c], have), (n[c] - counts[c], n.sum() - have)):
+            out += observed * np.log(np.maximum(observed, 1e-12) / np.maximum(total * n[c] / n.sum(), 1e-12))
+    return np.sqrt(np.maximum(2 * out, 0))
 
 
 def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, float]:
     """Weight of every feature (its ratio times its coefficient; 0 if it was left out) and the intercept."""
     counts = np.zeros((2, 1 << p.bits), dtype=np.float64)
-    for i, f in _features(texts, p, None):
+    for i, f, _ in _features(texts, p, None):
         counts[labels[i], f] += 1
     n = np.bincount(labels, minlength=2)
     if not n.all():
@@ -68,15 +83,15 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> tuple[np.nda
         return np.zeros(1 << p.bits, np.float32), float(np.clip(np.log(rate / (1 - rate)), -20, 20))
     share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    sure = np.abs(ratio) / np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    keep = (sure >= p.z) & (counts.sum(axis=0) >= p.min_docs)
+    keep = (_certainty(counts, n) >= p.z) & (counts.sum(axis=0) >= p.min_docs)
     number = np.cumsum(keep) - 1
-    rows, cols = [], []
-    for i, f in _features(texts, p, keep):
+    rows, cols, strengths = [], [], []
+    for i, f, strength in _features(texts, p, keep):
         rows.append(np.full(len(f), i))
         cols.append(number[f])
+        strengths.append(strength)
     row, col = np.concatenate(rows), np.concatenate(cols)
-    x, m, y = ratio[keep][col], int(keep.sum()), labels.astype(np.float64)
+    x, m, y = ratio[keep][col] * np.concatenate(strengths), int(keep.sum()), labels.astype(np.float64)
     w, b = np.zeros(m + 1), np.log(n[1] / n[0])
     w[m] = b
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
@@ -93,8 +108,8 @@ def fit(texts: list[str], labels: np.ndarray, p: ToxicityParams) -> tuple[np.nda
 
 def scores(texts: list[str], weights: np.ndarray, intercept: float, p: ToxicityParams) -> np.ndarray:
     out, keep = np.full(len(texts), intercept), weights != 0
-    for i, f in _features(texts, p, keep):
-        out[i] += weights[f].sum(dtype=np.float64)
+    for i, f, strength in _features(texts, p, keep):
+        out[i] += (weights[f] * strength).sum(dtype=np.float64)
     return textkit.sigmoid(out)
 
 
