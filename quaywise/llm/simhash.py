@@ -78,12 +78,31 @@ def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct().where(F.bit_count(F.expr("a ^ b")) <= radius)
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (fp and `first`, one row a distinct fingerprint) with the least `first` of the component as `least`."""
+    roots = components(links(classes.select("fp"), radius))
+    member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return member.join(member.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id that links reach) for every row of docs."""
     rows = cut(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.col("_fp").alias("fp")))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes.select("fp"), radius))
-    member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = _rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius)
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of docs for each component: that of the smallest id (nulls last), of one id that of the least text hash.
+
+    Ids, fingerprints and text hashes are what is shuffled to choose; texts are shuffled once, to find the chosen rows.
+    Rows equal in id and text can't be told apart; one of them stays.
+    """
+    key = {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_h": F.xxhash64(F.col("doc_id").isNull(), text_of())}
+    rows = with_fingerprint(docs.select("doc_id", "text")).withColumns(key)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("_k").alias("k"), F.col("_h").alias("h"))
+    classes = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("first")))
+    chosen = _rooted(classes, radius).select(F.col("least.k").alias("_k"), F.col("least.h").alias("_h")).distinct()
+    kept = docs.withColumns(key).join(chosen, ["_k", "_h"], "left_semi")
+    once = F.row_number().over(W.partitionBy("_k", "_h").orderBy("_k"))
+    return kept.withColumn("_n", once).where("_n = 1").select(docs.columns)

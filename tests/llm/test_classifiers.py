@@ -54,9 +54,16 @@ def test_toxicity_features_of_a_text_do_not_depend_on_its_batch():
     p = toxicity.ToxicityParams()
     keep = np.ones(1 << p.bits, bool)
     texts = ["idiot", "", "Ab", "a longer text, with words", "x"]
-    alone = [next(toxicity._features([t], p, None))[1] for t in texts]
+    alone = [next(toxicity._features([t], p, None))[1:] for t in texts]
     for k in (keep, None):
-        assert all(np.array_equal(a, f) for a, (_, f) in zip(alone, toxicity._features(texts, p, k), strict=True))
+        for (f, x), (_, g, y) in zip(alone, toxicity._features(texts, p, k), strict=True):
+            assert np.array_equal(f, g) and np.allclose(x, y)
+
+
+def test_toxicity_strength_is_a_frequency():
+    p = toxicity.ToxicityParams(orders=(3,))
+    once, often, long = (next(toxicity._features([t], p, None))[2].max() for t in ("abc def", "abc abc abc", "abc" + " def" * 1000))
+    assert once == 1 and often == 2 and 0 < long < 10
 
 
 def test_quality_scores_do_not_depend_on_the_batch():
@@ -101,7 +108,7 @@ def test_profiles_are_counts_over_all_training_documents(spark):
         counts = Counter()
         for i, t, x, *_ in rows:
             if x == lang and t and fold(i, 5):
-                counts.update(langid.grams(t, (1, 2, 3)).tolist())
+                counts.update(langid.grams([t], (1, 2, 3)).tolist())
         assert known[lang] == sorted(counts, key=lambda g: (-counts[g], g))[:50]
 
 
