@@ -7,7 +7,6 @@ empty table; null texts count as empty; columns that a stage doesn't know are ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaywise.llm import mixing, quality, rlz, sentencepieces, simhash
@@ -21,16 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id.
-
-    Rows of one id and fingerprint are told apart by their texts' hashes; among equal ones any stays. Only ids,
-    fingerprints and hashes are shuffled to choose, and the ids chosen to find the texts.
-    """
-    ids = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    chosen = ids.select("_id").distinct()
-    kept = docs.join(chosen, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    """Of each group of near copies, the document with the smallest id."""
+    return simhash.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
