@@ -42,6 +42,54 @@ def decomposed(rows: DataFrame, keys: list[str], value: str, period: int = 12) -
     return rows.withColumn("residual", F.when(F.col("_n") >= 2 * period + 1, F.col("_d") - F.col("season")).otherwise(F.col(value))).drop("_i", "_n", "_d")
 
 
+def _local_lines(y: np.ndarray, weights: np.ndarray, span: int) -> np.ndarray:
+    """Each value from a weighted straight line through its `span` nearest neighbours (tricube weights)."""
+    n, out = len(y), np.empty(len(y))
+    x = np.arange(n, dtype=float)
+    for i in range(n):
+        far = np.abs(x - i)
+        reach = np.sort(far)[min(span, n) - 1] + 1
+        w = np.clip(1 - (far / reach) ** 3, 0, None) ** 3 * weights + 1e-12
+        mean = np.average(x, weights=w)
+        spread = np.average((x - mean) ** 2, weights=w)
+        level = np.average(y, weights=w)
+        slope = np.average((x - mean) * (y - level), weights=w) / spread if spread > 1e-9 else 0.0
+        out[i] = level + slope * (i - mean)
+    return out
+
+
+def stl_residual(y: np.ndarray, period: int, rounds: int = 3) -> np.ndarray:
+    """Residuals of a robust decomposition: phases and trend smoothed in turn, outliers weighing less each round.
+
+    Series of fewer than two periods and a row are given back as they are.
+    """
+    y = np.asarray(y, float)
+    n = len(y)
+    if n < 2 * period + 1:
+        return y
+    trend, season, weights = np.zeros(n), np.zeros(n), np.ones(n)
+    for _ in range(rounds):
+        for phase in range(period):
+            own = slice(phase, None, period)
+            season[own] = _local_lines((y - trend)[own], weights[own], 7)
+        season -= np.convolve(np.pad(season, period // 2, mode="wrap"), np.ones(period) / period, "same")[period // 2 : period // 2 + n]
+        trend = _local_lines(y - season, weights, int(1.5 * period) | 1)
+        rest = np.abs(y - trend - season)
+        weights = np.clip(1 - (rest / (6 * np.median(rest) + 1e-12)) ** 2, 0, None) ** 2
+    return y - trend - season
+
+
+def stl(rows: DataFrame, keys: list[str], value: str, period: int = 12) -> DataFrame:
+    """rows with the residual of a robust decomposition, a series a group."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", residual double"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pdf.assign(residual=stl_residual(pdf[value].to_numpy(float), period))
+
+    return rows.groupBy(*keys).applyInPandas(one, schema)
+
+
 def forest_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
     """Isolation scores (0 to 1, higher for rows that are split off early)."""
     rng, n = np.random.default_rng(seed), len(x)

@@ -188,7 +188,88 @@ def recursive_regression(y: np.ndarray, first_month: int, steps: int) -> np.ndar
     return np.array(y[n:])
 
 
-FITTED = {"holt": lambda y, m, h: holt(y, h), "linear_regression": recursive_regression}
+def changepoint_trend(y: np.ndarray, first_month: int, steps: int) -> np.ndarray:
+    """Piecewise-linear trend (bends in the first four fifths, shrunk) and a yearly Fourier series, by ridge regression."""
+    n = len(y)
+    t = np.arange(n + steps) / max(n - 1, 1)
+    bends = np.linspace(0, 0.8, min(8, max(n // 4, 1)) + 2)[1:-1]
+    season = 2 * np.pi * (first_month + np.arange(n + steps))[:, None] * np.arange(1, 4)[None, :] / 12
+    order = 3 if n >= 24 else 0
+    x = np.column_stack([np.ones(n + steps), t, *(np.maximum(t - b, 0) for b in bends), np.sin(season[:, :order]), np.cos(season[:, :order])])
+    shrink = np.diag([1e-6, 1e-3] + [1.0] * len(bends) + [1e-2] * (2 * order))
+    w = np.linalg.solve(x[:n].T @ x[:n] + shrink, x[:n].T @ y)
+    return np.maximum(x[n:] @ w, 0)
+
+
+def seasonal_arima(y: np.ndarray, steps: int, season: int = 12) -> np.ndarray:
+    """(1,1,1)(1,1,1) by conditional least squares: each of the four weights is searched in turn, three times round.
+
+    Series of fewer than two seasons get the exponential smoothing.
+    """
+    if len(y) < 2 * season:
+        return holt(y, steps)
+    w = np.diff(y)[season:] - np.diff(y)[:-season]
+
+    def residuals(a: float, b: float, c: float, d: float) -> list[float]:
+        e: list[float] = []
+        at = lambda v, i: v[i] if i >= 0 else 0.0
+        for i in range(len(w)):
+            past = a * at(w, i - 1) + c * at(w, i - season) - a * c * at(w, i - season - 1)
+            e.append(w[i] - past - b * at(e, i - 1) - d * at(e, i - season) - b * d * at(e, i - season - 1))
+        return e
+
+    p = [0.0] * 4
+    for _ in range(3):
+        for k in range(4):
+            p[k] = min(np.linspace(-0.9, 0.9, 13), key=lambda v: sum(x * x for x in residuals(*p[:k], v, *p[k + 1 :])))
+    a, b, c, d = p
+    e, w, out = residuals(*p), list(w), list(map(float, y))
+    for _ in range(steps):
+        i = len(w)
+        at = lambda v, j: v[j] if 0 <= j < len(v) else 0.0
+        w.append(a * at(w, i - 1) + c * at(w, i - season) - a * c * at(w, i - season - 1) + b * at(e, i - 1) + d * at(e, i - season) + b * d * at(e, i - season - 1))
+        e.append(0.0)
+        out.append(w[-1] + out[-1] + out[-season] - out[-season - 1])
+    return np.maximum(np.array(out[len(y) :]), 0)
+
+
+def boosted_stumps(y: np.ndarray, first_month: int, steps: int, rounds: int = 150, rate: float = 0.1) -> np.ndarray:
+    """Gradient boosting of two-leaf trees over lags, month and trend, fed its own predictions."""
+    y, n = list(map(float, y)), len(y)
+    lag = [k for k in (1, 2, 3, 12) if k < n / 2]
+    start = max(lag, default=0)
+    row = lambda i: [i, (first_month + i) % 12, *(y[i - k] for k in lag)]
+    x, target = np.array([row(i) for i in range(start, n)], float), np.array(y[start:])
+    base, trees = target.mean(), []
+    rest = target - base
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 9))) for f in range(x.shape[1])]
+    for _ in range(rounds):
+        best = None
+        for f, values in enumerate(cuts):
+            for v in values:
+                left = x[:, f] <= v
+                if left.any() and not left.all():
+                    lo, hi = rest[left].mean(), rest[~left].mean()
+                    gain = left.sum() * lo * lo + (~left).sum() * hi * hi
+                    if best is None or gain > best[0]:
+                        best = (gain, f, v, rate * lo, rate * hi)
+        if best is None:
+            break
+        trees.append(best[1:])
+        rest = rest - np.where(x[:, best[1]] <= best[2], best[3], best[4])
+    for i in range(n, n + steps):
+        now = row(i)
+        y.append(max(0.0, base + sum(lo if now[f] <= v else hi for f, v, lo, hi in trees)))
+    return np.array(y[n:])
+
+
+FITTED = {
+    "holt": lambda y, m, h: holt(y, h),
+    "linear_regression": recursive_regression,
+    "changepoint_trend": changepoint_trend,
+    "seasonal_arima": lambda y, m, h: seasonal_arima(y, h),
+    "boosted_stumps": boosted_stumps,
+}
 
 
 def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
@@ -203,3 +284,28 @@ def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: t
         return pd.concat(parts)
 
     return series.select(*keys, "date", value).groupBy(*keys).applyInPandas(one, schema)
+
+
+def backtested(series: DataFrame, keys: list[str], value: str, folds: int = 3, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
+    """Walk-forward predictions of the fitted models: (keys, fold, model, i, y, yhat), folds dealt as in walk_forward.
+
+    Models that fail on a fold (a history too short for them) have no rows there.
+    """
+    kinds = {f.name: f.dataType for f in series.schema.fields}
+    schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["fold int, model string, i int, y double, yhat double"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y, month, n = pdf[value].to_numpy(float), pd.Timestamp(pdf["date"].iloc[0]).month, len(pdf)
+        test, parts = n // (folds + 1), []
+        for fold in range(1, folds + 1) if test else ():
+            origin = n - (folds - fold + 1) * test
+            for m in models:
+                try:
+                    yhat = FITTED[m](y[:origin], month, test)
+                except (ValueError, IndexError, np.linalg.LinAlgError):
+                    continue
+                parts.append(pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "fold": fold, "model": m, "i": range(origin, origin + test), "y": y[origin : origin + test], "yhat": yhat}))
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return series.select(*keys, "date", value).groupBy(*keys).applyInPandas(one, schema)

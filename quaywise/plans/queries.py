@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.functions import calendar, scalar
+from quaywise.functions import calendar, payloads, scalar
 from quaywise.functions.scalar import six
-from quaywise.operators import anomaly, forecast, inventory, marts, promo, retrieval, series
+from quaywise.operators import anomaly, forecast, generators, inventory, marts, promo, retrieval, series
 from quaywise.session import read
 from quaywise.sources import sinks
 from quaywise.streaming import events as streams
@@ -813,3 +813,67 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 )
 def event_sessions(spark, d):
     return streams.sessions(read(spark, d, "events"))
+
+
+@query()
+def model_zoo_scores(spark, d):
+    pairs = forecast.backtested(monthly(spark, d), K, "y")
+    both = pairs.unionByName(forecast.walk_forward(monthly(spark, d), K, "y").withColumns({"fold": F.col("fold").cast("int"), "i": F.col("i").cast("int")}))
+    rows = forecast.scored(both.groupBy("k", "model").agg(F.avg("y").alias("mean_y"), *[c.alias(n) for n, c in forecast.errors().items()]))
+    return rounded(rows.select("k", "model", "mae", "wape", "composite", "weighted"), "mae", "wape", "composite", "weighted")
+
+
+@query()
+def weighted_ensemble(spark, d):
+    m = monthly(spark, d)
+    errors = forecast.measured(forecast.backtested(m, K, "y"), ["k", "model"]).select("k", "model", F.col("mape").alias("score"))
+    return rounded(forecast.weighted_ensemble(forecast.fitted(m, K, "y", 6), errors, K), "yhat")
+
+
+@query()
+def stl_anomalies(spark, d):
+    return rounded(anomaly.scored(anomaly.stl(monthly(spark, d), K, "y"), K, "y", 2.5, "residual"), "residual", "z", "expected", "score", "variance_pct")
+
+
+@query()
+def synthetic_history(spark, d):
+    return rounded(generators.synthetic_history(stock(spark, d), GRAIN), "sold", "on_hand", "received")
+
+
+@query("SELECT s_suppkey, lower(substr(n_name, 1, 2) || substr(n_name, 2)) AS asked, n_name AS matched FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def fuzzy_members(spark, d):
+    nation = read(spark, d, "nation")
+    members = [r[0] for r in nation.select("n_name").orderBy("n_name").limit(1000).collect()]  # the members of a dimension
+    rows = read(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    asked = F.lower(F.concat(F.substring("n_name", 1, 2), F.expr("substring(n_name, 2)")))
+    return rows.select("s_suppkey", asked.alias("asked")).withColumn("matched", payloads.nearest(members)("asked"))
+
+
+@query(
+    f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
+s AS (SELECT DISTINCT product_category, sale_date FROM sales WHERE day(sale_date) = 15)
+SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
+)
+def asof_price(spark, d):
+    rows = marts.sales(spark, d)
+    price = rows.groupBy("product_category", F.trunc("sale_date", "MM").alias("date")).agg(F.avg("price").alias("price"))
+    asked = rows.where(F.dayofmonth("sale_date") == 15).select("product_category", F.col("sale_date").alias("date")).distinct().withColumn("price", F.lit(None).cast("double"))
+    both = price.withColumn("_q", F.lit(0)).unionByName(asked.withColumn("_q", F.lit(1)))
+    last = F.last("price", ignorenulls=True).over(W.partitionBy("product_category").orderBy("date", "_q"))
+    return rounded(both.withColumn("price", last).where("_q = 1 and price is not null").select("product_category", F.col("date").alias("sale_date"), "price"), "price")
+
+
+@query(f"WITH {SALES} SELECT service_code, region_key, returnflag, count(*) AS n FROM sales GROUP BY CUBE (service_code, region_key, returnflag)")
+def cube_sales(spark, d):
+    return marts.sales(spark, d).cube("service_code", "region_key", "returnflag").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {MONTHLY}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM monthly)
+SELECT date, 'historical' AS type, y AS value, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, NULL::VARCHAR AS model FROM monthly WHERE k = 'BUILDING'
+UNION ALL SELECT CAST(max(date) + to_months(CAST(s AS INT)) AS DATE), 'forecast', arg_max(y, date), NULL, NULL, 'naive_last' FROM monthly, range(1, 4) AS t(s) WHERE k = 'BUILDING' GROUP BY s"""
+)
+def export_rows(spark, d):
+    m = monthly(spark, d).where("k = 'BUILDING'")
+    ahead = forecast.naive_last(m, K, "y", 3).withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")})
+    return sinks.exported(m.withColumnRenamed("y", "value"), ahead)

@@ -178,3 +178,34 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     got, want = key(spark.table("daily")), key(batch)
     last = max(d for d, _, _ in want)
     assert got <= want and {r for r in want if (last - r[0]).days > 2} <= got  # days within the watermark are still open
+
+
+def test_fitted_models_follow_a_season():
+    y = np.array([100 + i + 20 * np.sin(i * np.pi / 6) for i in range(72)])
+    want = np.array([100 + i + 20 * np.sin(i * np.pi / 6) for i in range(72, 78)])
+    for name, off in (("changepoint_trend", 3), ("seasonal_arima", 1), ("linear_regression", 5), ("boosted_stumps", 25)):
+        assert np.abs(forecast.FITTED[name](y, 1, 6) - want).max() < off, name
+    for name in forecast.FITTED:
+        assert len(forecast.FITTED[name](np.array([5.0]), 1, 2)) == 2, name
+
+
+def test_robust_decomposition_leaves_the_outlier_in_the_residual():
+    y = np.array([50 + i + 10 * np.sin(i * np.pi / 6) for i in range(60)])
+    y[30] += 80
+    r = anomaly.stl_residual(y, 12)
+    assert np.abs(r).argmax() == 30 and r[30] > 60 and np.median(np.abs(r)) < 2
+    assert list(anomaly.stl_residual(np.array([1.0, 2.0]), 12)) == [1, 2]
+
+
+def test_payloads(spark):
+    from quaywise.functions import payloads
+
+    assert payloads.json_in('so: ```json\n{"uplift": 5}\n``` ok') == {"uplift": 5}
+    assert payloads.json_in('x {"a": [1, 2]} y') == {"a": [1, 2]} and payloads.json_in("uplift = 12.5 %", "uplift") == {"uplift": 12.5}
+    assert payloads.json_in("nothing") is None and payloads.json_in(None) is None
+    assert payloads.numbers_in({"results": [{"prediction": 1}, {"prediction": "x", "value": 2}]}) == [1.0, 2.0]
+    df = spark.createDataFrame([("[1, 2.5]",), ('{"forecast": [3, 4, 5]}',), (None,), ("7",)], "t string").coalesce(1)
+    got = df.select(payloads.series_in("t").alias("x")).select(payloads.of_length(F.col("x"), 3).alias("s")).collect()
+    assert [r.s for r in got] == [[1, 2.5, 4.0], [3, 4, 5], None, None]
+    names = spark.createDataFrame([("ben  arus",), ("xyz",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in names.select(payloads.nearest(["Ben Arous", "Tunis"])("t")).collect()] == ["Ben Arous", None, None]
