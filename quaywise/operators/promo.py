@@ -17,8 +17,8 @@ ELASTICITY = ((5.0, 10.0, 10.0, 0.20), (10.0, 20.0, 20.0, 0.25), (20.0, 30.0, 30
 def tagged(spark: SparkSession, promos: DataFrame, years: tuple[int, int], lead_days: int = 14) -> DataFrame:
     """Each promotion (promo_id, promo_start, promo_end) with the first event by priority that overlaps it, a lead before
     the start counting as part of it. Windows are a fixed handful a year, in an array that each row filters."""
-    windows = event_windows(spark, *years).agg(F.array_sort(F.collect_list(F.struct("priority", "event", "event_start", "event_end"))).alias("w"))
-    rows = promos.crossJoin(F.broadcast(windows))  # one row: the table of windows
+    windows = event_windows(spark, *years).agg(F.array_sort(F.collect_list(F.struct("priority", "event", "event_start", "event_end"))))
+    rows = promos.withColumn("w", windows.scalar())
     hit = F.filter("w", lambda e: (F.date_sub("promo_start", lead_days) <= e["event_end"]) & (F.col("promo_end") >= e["event_start"]))
     return rows.withColumn("event", F.get(hit, F.lit(0))["event"]).drop("w")
 

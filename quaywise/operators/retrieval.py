@@ -79,15 +79,21 @@ def measure(metric: str, a: Column, b: Column) -> Column:
     return {"cosine": cosine(a, b), "ip": dot, "l2": -F.sqrt(far)}[metric]
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Exact nearest vectors of a stated, small set of queries (query_id, query): each row is scored against all queries
-    as they stand in one array, so vectors stay where they are and only the best of each task are shuffled."""
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
+    """Exact nearest vectors of a stated set of queries (query_id, query), in blocks of about `block` queries: a block
+    is one array that every row is scored against, so vectors stay where they are, and only the best k a query of what
+    each task sees are shuffled on."""
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    asked = queries.agg(F.collect_list(F.struct("query_id", doubles("query").alias("query"))).alias("_q"))
-    rows = vectors.select("vec_id", doubles("embedding").alias("_v")).crossJoin(F.broadcast(asked))  # one row
-    rows = rows.select("vec_id", "_v", F.inline("_q")).select("query_id", "vec_id", measure(metric, F.col("_v"), F.col("query")).alias("similarity")).where(F.col("similarity").isNotNull())
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks, found = max(1, -(-queries.count() // block)), None
+    dealt = queries.select("query_id", doubles("query").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+    for b in range(blocks):
+        asked = dealt.where(F.col("_b") == b).agg(F.collect_list(F.struct("query_id", "query")))
+        rows = vectors.select("vec_id", doubles("embedding").alias("_v")).withColumn("_q", asked.scalar())
+        rows = rows.select("vec_id", "_v", F.inline("_q")).select("query_id", "vec_id", measure(metric, F.col("_v"), F.col("query")).alias("similarity")).where(F.col("similarity").isNotNull())
+        best = rows.withColumn("rank", rank).where(F.col("rank") <= k)  # the planner limits the rank before the shuffle, too
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -99,10 +105,10 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
     terms = term_counts(docs)
     length = terms.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    stats = length.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean")))
     hits = terms.join(asked.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(stats)).join(asked, "term")  # stats: one row
+    rows = hits.join(df, "term").join(length, "doc_id").join(asked, "term").withColumn("_s", stats.scalar()).select("*", "_s.n", "_s.mean")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
