@@ -31,7 +31,9 @@ from quaywise.llm.tables import text_of
 
 SPACE, PENALTY = "▁", 10.0
 #: Words whose ids a task keeps at most before it starts anew.
-HELD_WORDS = 250_000
+HELD_WORDS = 150_000
+#: Texts that are taken out of an Arrow batch at a time.
+SLICE = 500
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -136,9 +138,12 @@ def encoded(docs: DataFrame, model: Pieces | None = None, text: str = "text", na
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(sent.value)
         for batch in texts:
-            got = [codec.encode(t) for t in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
+            parts, sizes = [np.zeros(0, np.int32)], [0]
+            for at in range(0, len(batch), SLICE):
+                got = [codec.encode(t) for t in batch.slice(at, SLICE).to_pylist()]
+                sizes += map(len, got)
+                parts.append(np.concatenate(got))
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(parts)))
 
     return docs.withColumn(name, ids(text_of(text)))
 
@@ -164,7 +169,7 @@ def round_trips(docs: DataFrame, model: Pieces | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
-        for b in batches:
+        for b in (x.slice(at, SLICE) for x in batches for at in range(0, len(x), SLICE)):
             rows = []
             for t in b.column(1).to_pylist():
                 ids = codec.encode(t)
