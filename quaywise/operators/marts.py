@@ -71,13 +71,16 @@ def filtered(rows: DataFrame, service: str | None = None, region: str | None = N
 
 
 def reaggregated(mart: DataFrame) -> DataFrame:
-    """A monthly mart by date: sales and promoted sales summed, the rest averaged, labels the first by name."""
+    """A monthly mart by date: sales and promoted sales summed, the rest averaged, labels the first by name.
+
+    Means of values that were rounded may fall half way between two; 1e-9 moves them off.
+    """
     return mart.groupBy("month").agg(
         F.sum("nb_ventes").alias("nb_ventes"),
         F.sum("nb_ventes_promo").alias("nb_ventes_promo"),
-        six(F.avg("nb_dealers_actifs")).alias("nb_dealers_actifs"),
-        six(F.avg("pct_ventes_promo")).alias("pct_ventes_promo"),
-        six(F.avg("prix_moyen")).alias("prix_moyen"),
+        six(F.avg("nb_dealers_actifs") + 1e-9).alias("nb_dealers_actifs"),
+        six(F.avg("pct_ventes_promo") + 1e-9).alias("pct_ventes_promo"),
+        six(F.avg("prix_moyen") + 1e-9).alias("prix_moyen"),
         F.min("region_key").alias("region_key"),
     )
 

@@ -87,8 +87,8 @@ def daily_sales_mart(spark, d):
 
 @query(
     f"""WITH {SALES}, mart AS (SELECT CAST(date_trunc('month', sale_date) AS DATE) AS month, service_code, region_key, product_category, {MEASURES} FROM sales GROUP BY 1, 2, 3, 4)
-SELECT month, CAST(sum(nb_ventes) AS BIGINT) AS nb_ventes, CAST(sum(nb_ventes_promo) AS BIGINT) AS nb_ventes_promo, {r("avg(nb_dealers_actifs)")} AS nb_dealers_actifs,
- {r("avg(pct_ventes_promo)")} AS pct_ventes_promo, {r("avg(prix_moyen)")} AS prix_moyen, min(region_key) AS region_key FROM mart GROUP BY month"""
+SELECT month, CAST(sum(nb_ventes) AS BIGINT) AS nb_ventes, CAST(sum(nb_ventes_promo) AS BIGINT) AS nb_ventes_promo, {r("avg(nb_dealers_actifs) + 1e-9")} AS nb_dealers_actifs,
+ {r("avg(pct_ventes_promo) + 1e-9")} AS pct_ventes_promo, {r("avg(prix_moyen) + 1e-9")} AS prix_moyen, min(region_key) AS region_key FROM mart GROUP BY month"""
 )
 def segment_reaggregate(spark, d):
     return marts.reaggregated(marts.monthly_mart(marts.sales(spark, d)))
