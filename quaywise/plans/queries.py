@@ -876,3 +876,122 @@ def export_rows(spark, d):
     m = monthly(spark, d).groupBy("date").agg(F.sum("y").alias("y")).withColumn("k", F.lit("all"))
     ahead = forecast.naive_last(m, K, "y", 3).withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")})
     return sinks.exported(m.withColumnRenamed("y", "value"), ahead)
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(strip_accents(lower(p_name)), '[_-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM part")
+def text_normalise(spark, d):
+    return read(spark, d, "part").select("p_partkey", scalar.normalised(F.col("p_name")).alias("name"))
+
+
+@query(f"WITH {SALES}, c AS (SELECT region_label, service_code, count(*) AS n FROM sales GROUP BY 1, 2) SELECT region_label, service_code AS dominant, n FROM c QUALIFY row_number() OVER (PARTITION BY region_label ORDER BY n DESC, service_code) = 1")
+def dominant_service(spark, d):
+    counts = marts.sales(spark, d).groupBy("region_label", "service_code").agg(F.count("*").alias("n"))
+    return series.latest(counts, ["region_label"], F.desc("n"), F.col("service_code")).select("region_label", F.col("service_code").alias("dominant"), "n")
+
+
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, rpad(strftime(o_orderdate, '%B'), 9, ' ') AS month_name, rpad(strftime(o_orderdate, '%A'), 9, ' ') AS day_name FROM orders")
+def calendar_names(spark, d):
+    days = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return days.select("date", F.rpad(F.date_format("date", "MMMM"), 9, " ").alias("month_name"), F.rpad(F.date_format("date", "EEEE"), 9, " ").alias("day_name"))
+
+
+@query("SELECT n_name, string_agg(c_mktsegment, ', ' ORDER BY c_mktsegment) AS services FROM (SELECT DISTINCT n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY n_name")
+def services_by_region(spark, d):
+    rows = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ", ").alias("services"))
+
+
+@query(f"WITH {STOCK} SELECT month, region_label, sum(on_hand) AS stock, sum(received) AS received, sum(sold) AS sold, sum(activations) AS activations, count(*) FILTER (on_hand <= 0) AS ruptures FROM stock GROUP BY 1, 2")
+def stock_by_region(spark, d):
+    return stock(spark, d).groupBy("month", "region_label").agg(F.sum("on_hand").alias("stock"), F.sum("received").alias("received"), F.sum("sold").alias("sold"), F.sum("activations").alias("activations"), F.count_if(F.col("on_hand") <= 0).alias("ruptures"))
+
+
+@query(f"WITH {STOCK} SELECT month, product_category, sum(on_hand) AS stock, sum(sold) AS sold, sum(on_hand) - lag(sum(on_hand)) OVER (PARTITION BY product_category ORDER BY month) AS change FROM stock GROUP BY 1, 2")
+def stock_trend(spark, d):
+    rows = stock(spark, d).groupBy("month", "product_category").agg(F.sum("on_hand").alias("stock"), F.sum("sold").alias("sold"))
+    return rows.withColumn("change", F.col("stock") - F.lag("stock").over(W.partitionBy("product_category").orderBy("month")))
+
+
+@query(f"WITH {SALES} SELECT service_code, {r('quantile_cont(price, 0.1)')} AS p10, {r('quantile_cont(price, 0.5)')} AS p50, {r('quantile_cont(price, 0.9)')} AS p90 FROM sales GROUP BY 1")
+def price_quantiles(spark, d):
+    q = F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    rows = marts.sales(spark, d).groupBy("service_code").agg(q.alias("q"))
+    return rounded(rows.select("service_code", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90")), "p10", "p50", "p90")
+
+
+@query(f"WITH {SALES} SELECT region_key, min(sale_date) AS first_day, max(sale_date) AS last_day, count(DISTINCT sale_date) AS days, count(DISTINCT product_id) AS products FROM sales GROUP BY 1")
+def covered_period(spark, d):
+    return marts.sales(spark, d).groupBy("region_key").agg(F.min("sale_date").alias("first_day"), F.max("sale_date").alias("last_day"), F.countDistinct("sale_date").alias("days"), F.countDistinct("product_id").alias("products"))
+
+
+@query(
+    f"""WITH {MONTHLY}, q AS (SELECT k, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM monthly GROUP BY k)
+SELECT k, count(*) AS rows_all, count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers FROM monthly JOIN q USING (k) GROUP BY k"""
+)
+def sparsity_audit(spark, d):
+    rows = series.outliers_smoothed(monthly(spark, d), K, "y")
+    return rows.groupBy("k").agg(F.count("*").alias("rows_all"), F.count_if(F.col("y") == 0).alias("zeros"), F.count_if("is_outlier").alias("outliers"))
+
+
+@query(
+    f"""WITH {MONTHLY}, l AS (SELECT k, max(date) AS ld, arg_max(y, date) AS yhat FROM monthly GROUP BY k)
+SELECT CAST(s AS INT) AS step, sum(yhat) AS global_forecast, count(*) AS families FROM l, range(1, 7) AS t(s) GROUP BY s"""
+)
+def global_forecast(spark, d):
+    return forecast.naive_last(monthly(spark, d), K, "y", 6).groupBy("step").agg(F.sum("yhat").alias("global_forecast"), F.count("*").alias("families"))
+
+
+SCENARIOS = (("mild", 10.0, 0.20), ("usual", 20.0, 0.25), ("strong", 45.0, 0.35))
+
+
+@query(
+    f"""WITH {DAILY}, sc AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {u}::DOUBLE, {p}::DOUBLE)" for n, u, p in SCENARIOS)}) t(scenario, u, p)),
+f AS (SELECT scenario, k, y, y * CASE WHEN date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' THEN 1 + u / 100 WHEN date > DATE '2024-01-14' AND date <= DATE '2024-01-28' THEN greatest(0.5, 1 - u / 100 * p) ELSE 1.0 END AS w FROM daily, sc)
+SELECT scenario, k, floor(sum(y) * 1e4 + 0.5) / 1e4 AS base, floor(sum(w) * 1e4 + 0.5) / 1e4 AS with_promo FROM f GROUP BY 1, 2"""
+)
+def scenario_compare(spark, d):
+    days, out = daily(spark, d).withColumnRenamed("y", "demand"), None
+    for name, uplift, dip in SCENARIOS:
+        rows = promo.effect(days, "2024-01-08", "2024-01-14", uplift, dip).withColumn("scenario", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    four = lambda c: F.floor(F.sum(c) * 1e4 + 0.5) / 1e4
+    return out.groupBy("scenario", "k").agg(four("demand").alias("base"), four("with_promo").alias("with_promo"))
+
+
+@query(
+    f"""WITH {FUSED}, g AS (SELECT query_id, doc_id, fused, coalesce(0.65::DOUBLE / (60 + dense_rank), 0.0) + coalesce(0.35::DOUBLE / (60 + lexical_rank), 0.0) AS old FROM fz),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY round(old, 9) DESC, doc_id) AS b FROM g)
+SELECT query_id, count(*) FILTER (a <= 5 AND b <= 5) AS shared_top5, min(CASE WHEN b = 1 THEN a END)::INT AS rank_of_old_first FROM k GROUP BY query_id"""
+)
+def weight_comparison(spark, d):
+    rows = fused(spark, d)
+    old = F.coalesce(F.lit(0.65) / (60 + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(F.lit(0.35) / (60 + F.col("lexical_rank")), F.lit(0.0))
+    rank = lambda c: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round(c, 9)), "doc_id"))
+    rows = rows.withColumn("old", old).withColumns({"a": rank("fused"), "b": rank("old")})
+    return rows.groupBy("query_id").agg(F.count_if((F.col("a") <= 5) & (F.col("b") <= 5)).alias("shared_top5"), F.min(F.when(F.col("b") == 1, F.col("a"))).alias("rank_of_old_first"))
+
+
+@query(
+    f"""WITH {FUSED}, ov AS (SELECT f.query_id, fused + 0.2::DOUBLE * coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]{{2,}}')), regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'))) / nullif(len(list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]{{2,}}'))), 0)::DOUBLE, 0.0) AS final
+ FROM fz f JOIN asked USING (query_id) JOIN documents USING (doc_id))
+SELECT query_id, {r("max(final)")} AS top_score, max(final) >= 0.15 AS answered FROM ov GROUP BY query_id"""
+)
+def confidence_guard(spark, d):
+    rows = fused(spark, d).join(questions(spark, d), "query_id").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    top = retrieval.overlap_reranked(rows, "query_text", "text").groupBy("query_id").agg(F.max("final").alias("top_score"))
+    return rounded(top.withColumn("answered", F.col("top_score") >= 0.15), "top_score")
+
+
+@query(
+    """SELECT event_type, window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS window_start FROM events) GROUP BY 1, 2"""
+)
+def event_sliding(spark, d):
+    rows = read(spark, d, "events").groupBy("event_type", F.window("ts", "1 day", "12 hours")).agg(F.count("*").alias("n"))
+    return rows.select("event_type", F.col("window.start").alias("window_start"), "n")
+
+
+@query()
+def anomaly_merge(spark, d):
+    rows = monthly(spark, d)
+    named = lambda df, m: df.select("k", "date", "score", F.lit(m).alias("method"))
+    return rounded(anomaly.merged(named(anomaly.scored(rows, K, "y", 1.5), "raw"), named(anomaly.scored(anomaly.decomposed(rows, K, "y"), K, "y", 1.5, "residual"), "residual"), K), "score")
