@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaywise.llm import textkit
 from quaywise.llm.tables import text_of
 
 # Fixed values of HTML and of common usage in pages.
@@ -241,7 +242,7 @@ def main_text(page: str | None) -> str:
 
 @F.arrow_udf(T.StringType())
 def _main_texts(pages: pa.Array) -> pa.Array:
-    return pa.array((main_text(p) for p in pages.to_pylist()), pa.string())
+    return pa.array((main_text(p) for some in textkit.sliced(pages) for p in some), pa.string())
 
 
 def extracted(page: str = "html") -> Column:

@@ -139,7 +139,7 @@ def predict(docs: DataFrame, known: dict[str, list[int]], p: LanguageParams = La
             return names[best], float(1 - apart[best] / (p.ranks * len(mine)))
 
         for b in batches:
-            got = [one(t) for t in b.column(2).to_pylist()]
+            got = [one(t) for some in textkit.sliced(b.column(2)) for t in some]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 5) == 0).alias("held_out"), text_of().alias("text"))

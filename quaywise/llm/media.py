@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaywise.llm import textkit
 from quaywise.llm.tables import text_of
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -123,7 +124,7 @@ def with_images(docs: DataFrame, text: str = "text", level: int = 1) -> DataFram
 
     @F.arrow_udf("binary")
     def image(texts: pa.Array) -> pa.Array:
-        return pa.array((encode_png(pad(t.encode("utf-8", "surrogatepass")), level) for t in texts.to_pylist()), pa.binary())
+        return pa.array((encode_png(pad(t.encode("utf-8", "surrogatepass")), level) for some in textkit.sliced(texts) for t in some), pa.binary())
 
     return docs.withColumn("media", image(text_of(text)))
 
@@ -133,7 +134,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for b in batches:
+        for b in (x.slice(at, 500) for x in batches for at in range(0, len(x), 500)):
             rows = []
             for n, image in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 samples = decode_png(image)

@@ -126,7 +126,7 @@ def score_column(docs: DataFrame, model: tuple[np.ndarray, float], p: QualityPar
 
     @F.arrow_udf("double")
     def quality(text: pa.Array) -> pa.Array:
-        return pa.array(scores(text.to_pylist(), *sent.value, p), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *(scores(some, *sent.value, p) for some in textkit.sliced(text))]), pa.float64())
 
     return quality(text_of())
 

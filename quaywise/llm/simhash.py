@@ -16,7 +16,6 @@ Null ids take part like others but can't name a component; a component with null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaywise.llm import textkit
 from quaywise.llm.components import components
 from quaywise.llm.tables import cut, text_of
 
@@ -53,7 +53,7 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(text: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t) for t in text.to_pylist()], dtype=np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t) for some in textkit.sliced(text) for t in some], dtype=np.uint64).view(np.int64))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "_fp") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: ASCII white space that separates words, as bytes.split() and the class [\x20\x09-\x0D] have it.
 SPACES = np.zeros(256, dtype=bool)
@@ -22,6 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliced(texts: pa.Array, rows: int = 500) -> Iterator[list[str]]:
+    """The texts of an Arrow batch as lists of so many, so that few are held as Python strings at a time."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
 def chunks(texts: list[str], limit: int = 120_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about `limit` characters with the index of their first; a longer text is a run of its own."""
     start, held = 0, 0

@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: ToxicityParams =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, b0 = sent.value
         for b in batches:
-            got = scores(b.column(2).to_pylist(), weights, b0, p)
+            got = np.concatenate([np.zeros(0), *(scores(some, weights, b0, p) for some in textkit.sliced(b.column(2)))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 5) == 0).alias("held_out"), text_of().alias("text"))
