@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaywise.llm import mixing, quality, rlz, sentencepieces, simhash
+from quaywise.llm import jaccard, mixing, quality, rlz, sentencepieces
 from quaywise.llm.tables import cut, table, written
 
 
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return simhash.representatives(docs)
+    """Of each group of near copies (0.8 or more of five-word shingles alike), the document with the smallest id."""
+    return jaccard.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("7 quality classifier", keep_quality),
-    ("2 SimHash near-dedup", drop_near_duplicates),
+    ("2 near-dedup", drop_near_duplicates),
     ("10 substring dedup", drop_repeated_passages),
     ("3 mixing sources", mix_sources),
     ("5 SentencePiece encoding", encode),
