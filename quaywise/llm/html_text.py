@@ -45,22 +45,41 @@ LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words that say nothing of what an element holds: a token of these and of boilerplate words is boilerplate as a whole.
+FILLERS = frozenset("area bar block bottom box center col column container content footer global header inner item left link links list main nav outer page panel primary right section secondary site top wrap wrapper".split())
+#: Elements that are never left out by class or id: the article itself and its headings.
+NAMED_FREELY = frozenset("main article h1 h2 h3 h4 h5 h6".split())
+
+#: The words that a paragraph is left out for.
+ADVERTS = frozenset(w for w in NAMES if w.startswith(("ad", "sponsor")))
+
+_ARTICLE = re.compile(r"<(?:article|main|h1)\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _is_boilerplate(token: str, names: frozenset[str]) -> bool:
+    """Whether all of a class or id is boilerplate: 'sidebar', 'top-menu', 'AdBox', but not 'with-sidebar' or 'social-impact'."""
+    words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+    return any(w in names for w in words) and all(w in names or w in FILLERS for w in words)
+
+
+def _is_named(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is left out by its class or id; inside: within an article or main element, where a header belongs to the article."""
+    if not attrs or tag in NAMED_FREELY:
+        return False
+    names = ADVERTS if tag == "p" else NAMES if inside else NAMES | {"header"}
+    return any(_is_boilerplate(token, names) for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id") for token in (a or b or c).split())
+
+
 def _is_dropped(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element, where a header belongs to the article."""
+    """Whether an element is left out by its tag, role or as hidden."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
     if not attrs or tag == "main":
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & NAMES or "header" in words and not inside:
-                return True
-        elif name == "role":
+        if name == "role":
             if value.lower() in ROLES:
                 return True
         elif name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -76,6 +95,8 @@ class Page:
         self.events: list[tuple[int, str | None]] = []  # node and text, None at the edge of a block
         self.first, self.past = [0], [0]
         stack, at, n = [0], 0, len(page)
+        m = _ARTICLE.search(page)
+        begins = m.start() if m else -1
         while at < n:
             m = _TAG.search(page, at)
             if m is None:
@@ -95,11 +116,13 @@ class Page:
             self._implied(stack, tag)
             empty = tag in VOID or (m[3] or "").endswith("/") and tag in RAW
             inside = any(self.tags[i] in ("article", "main") for i in stack)
-            if _is_dropped(tag, m[3], inside):
-                self.events.append((stack[-1], None if tag in BLOCK else " "))
-                if not empty:
-                    at = self._skip(page, at, tag)
-                continue
+            dropped, named = _is_dropped(tag, m[3], inside), _is_named(tag, m[3], inside)
+            if dropped or named:
+                past = at if empty else self._skip(page, at, tag)
+                if dropped or not at <= begins < past:  # a wrapper of the article stays whatever its name
+                    self.events.append((stack[-1], None if tag in BLOCK else " "))
+                    at = past
+                    continue
             if empty:
                 self.events.append((stack[-1], None if tag == "hr" else " " if tag == "br" else ""))
                 continue
