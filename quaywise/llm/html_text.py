@@ -4,8 +4,10 @@ A tolerant reader builds the tree of a page. Elements that are no article text b
 page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out. For every node
 the characters per tag are computed and lowered by the share of links among them; a node's density sum is the sum of its
 children's densities. The node with the greatest sum is the core of the article, and the least density on its path to
-the body is the threshold: on the way up from the core, a parent is taken in as long as what it adds is as dense as
-that or hardly linked, and an enclosing article or main element is taken whole.
+the body is the threshold: on the way up from the core, a parent below the body is taken in as long as what it adds is
+as dense as that or hardly linked. Of every other subtree that is as dense as the threshold its node of the greatest sum
+is taken as well, and a heading right before anything taken; parts are joined in page order. An enclosing article or
+main element of the core is taken whole instead.
 
 White space in a block becomes one space, character references are decoded, and blocks are joined by an empty line.
 A null or empty page, and one without text, has an empty text.
@@ -49,7 +51,7 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\
 FILLERS = frozenset("area bar block bottom box center col column container content footer global header inner item left link links list main nav outer page panel primary right section secondary site top wrap wrapper".split())
 #: Elements that are never left out by class or id: the article itself and its headings.
 NAMED_FREELY = frozenset("main article h1 h2 h3 h4 h5 h6".split())
-
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The words that a paragraph is left out for.
 ADVERTS = frozenset(w for w in NAMES if w.startswith(("ad", "sponsor")))
 
@@ -194,8 +196,8 @@ class Page:
                 return m.start()
         return start
 
-    def article(self) -> tuple[int, int]:
-        """The first and the past-the-end event of the article."""
+    def article(self) -> list[tuple[int, int]]:
+        """The first and the past-the-end event of each part of the article, in page order."""
         n = len(self.tags)
         chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
         is_link = [t == "a" for t in self.tags]
@@ -214,7 +216,7 @@ class Page:
             tags[p] += tags[i] + 1
             links[p] += links[i] + (self.tags[i] == "a")
         if not chars[0]:
-            return 0, 0
+            return []
         part = linked[0] / chars[0]
 
         def density(i: int) -> float:
@@ -241,9 +243,32 @@ class Page:
             best = up
         for up in path:
             if self.tags[up] in ("article", "main"):
-                best = up
-                break
-        return self.first[best], self.past[best]
+                return [(self.first[up], self.past[up])]
+        top = list(range(n))  # of each subtree, the node with the greatest sum
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            if (sums[top[i]], -top[i]) > (sums[top[p]], -top[p]):
+                top[p] = top[i]
+        kept = [False] * n
+        kept[best] = True
+        for i in range(n):
+            if chars[i] and dense[i] >= least:
+                kept[top[i]] = True
+        for i in range(1, n):  # within what is kept
+            kept[i] = kept[i] or kept[self.parents[i]]
+        holds = list(kept)
+        for i in range(n - 1, 0, -1):
+            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+        follows: dict[int, bool] = {}  # by parent: whether the next child holds a part of the article
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            if self.tags[i] in HEADINGS and follows.get(p, False):
+                kept[i] = True
+            else:
+                follows[p] = holds[i]
+        if kept[0]:
+            return [(self.first[0], self.past[0])]
+        return [(self.first[i], self.past[i]) for i in range(1, n) if kept[i] and not kept[self.parents[i]]]
 
 
 def main_text(page: str | None) -> str:
@@ -251,9 +276,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Page(page)
-    a, b = tree.article()
     blocks, now = [], []
-    for _, text in [*tree.events[a:b], (0, None)]:
+    for _, text in [e for a, b in tree.article() for e in [*tree.events[a:b], (0, None)]]:
         if text is None:
             if block := " ".join("".join(now).split()):
                 blocks.append(block)
