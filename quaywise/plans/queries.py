@@ -848,18 +848,31 @@ def fuzzy_members(spark, d):
     return rows.select("s_suppkey", asked.alias("asked")).withColumn("matched", payloads.nearest(members)("asked"))
 
 
+def _asof_price(rows, asked_for):
+    """The newest monthly price of the category for each distinct category and sale day of the rows asked for."""
+    price = rows.groupBy("product_category", F.trunc("sale_date", "MM").alias("date")).agg(F.avg("price").alias("price"))
+    asked = rows.where(asked_for).select("product_category", F.col("sale_date").alias("date")).distinct().withColumn("price", F.lit(None).cast("double"))
+    both = price.withColumn("_q", F.lit(0)).unionByName(asked.withColumn("_q", F.lit(1)))
+    last = F.last("price", ignorenulls=True).over(W.partitionBy("product_category").orderBy("date", "_q"))
+    return rounded(both.withColumn("price", last).where("_q = 1 and price is not null").select("product_category", F.col("date").alias("sale_date"), "price"), "price")
+
+
 @query(
     f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
 s AS (SELECT DISTINCT product_category, sale_date FROM sales WHERE day(sale_date) = 15)
 SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
 )
 def asof_price(spark, d):
-    rows = marts.sales(spark, d)
-    price = rows.groupBy("product_category", F.trunc("sale_date", "MM").alias("date")).agg(F.avg("price").alias("price"))
-    asked = rows.where(F.dayofmonth("sale_date") == 15).select("product_category", F.col("sale_date").alias("date")).distinct().withColumn("price", F.lit(None).cast("double"))
-    both = price.withColumn("_q", F.lit(0)).unionByName(asked.withColumn("_q", F.lit(1)))
-    last = F.last("price", ignorenulls=True).over(W.partitionBy("product_category").orderBy("date", "_q"))
-    return rounded(both.withColumn("price", last).where("_q = 1 and price is not null").select("product_category", F.col("date").alias("sale_date"), "price"), "price")
+    return _asof_price(marts.sales(spark, d), F.dayofmonth("sale_date") == 15)
+
+
+@query(
+    f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
+s AS (SELECT DISTINCT product_category, sale_date FROM sales)
+SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
+)
+def asof_price_all_days(spark, d):
+    return _asof_price(marts.sales(spark, d), F.lit(True))
 
 
 @query(f"WITH {SALES} SELECT service_code, region_key, returnflag, count(*) AS n FROM sales GROUP BY CUBE (service_code, region_key, returnflag)")
