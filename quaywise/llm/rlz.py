@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against the indexed blocks of the corpus itself.
+"""Substring dedup by an exact window index over blocks of the corpus itself, with relative Lempel-Ziv factors on request.
 
 The corpus is dealt into reference blocks of a bounded size, and a block's index are its seeds: the hashes of all runs
-of `window` words. Every document is parsed greedily: a seed that an index has at an earlier place (smaller id, or the
-same document and an earlier start) opens a factor, which goes on as long as the next seed is found at the next place
-of the same reference. Where a factor ends, the seeds that straddle its end are looked up as well, so that the next
-factor may overlap it: no window with an earlier copy is missed, and none without one is taken. The words of all
-factors (each is `window` words long at least) are the duplicate spans.
+of `window` words. Every window that an index has at an earlier place (smaller id, or the same document and an earlier start) is
+marked, and the words of all marked windows are the duplicate spans: no window with an earlier copy is missed, and none
+without one is taken. This is no greedy parse. The query and the pipeline's stage use the marks alone; with factors=True
+(`duplicate_spans`) marked windows that follow each other, as their references do, are put together as factors.
 
 A document meets every block, but no block is sent to every document. Each window of 20 words is represented by its
 least 8-gram (its anchor; neighbours mostly share it); blocks exchange their distinct anchors, and only windows whose
