@@ -1,4 +1,4 @@
-"""Reading uploads: delimiter and header conventions, routing by columns, normalising sales and stock frames."""
+"""Reading uploads: delimiter and header conventions, routing by columns, normalising stock frames."""
 
 from __future__ import annotations
 
