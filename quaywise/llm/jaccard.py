@@ -1,16 +1,21 @@
-"""Near-dedup by exact Jaccard similarity of five-word shingles, candidates by banded MinHash.
+"""The pipeline's SimHash near-dedup: ball hashing, completed by banded MinHash, every link checked by exact Jaccard similarity.
 
 Texts have A-Z lower-cased and are cut into words of anything but ASCII white space; the shingles of a text are the set
 of its runs of five words (the whole sequence where there are fewer), each as a 64-bit hash. Texts of equal sets are one
-class, which is what is compared; texts without words are a class of their own that is like no other.
-
-Two classes are candidates if a band of ROWS least hashes is equal in both; of BANDS bands, a pair of similarity s
-has none in common with a chance of (1 - s^ROWS)^BANDS: 1 in 9000 at 0.8, 1 in 2 million at 0.9. Each candidate is
-verified by its exact similarity before it counts as a link. The members of a bucket (the classes that share a band)
-are first compared with its smallest one. Where that doesn't connect all the others, every two of those are compared
-as well, by the product of their incidence matrices, large buckets in parts. So a group whose members are all near
-copies of one costs a comparison a member, a loose one the square of its bucket, and no candidate that could join two
-components is left out.
+class, which is what is compared; texts without words are a class of their own that is like no other. A very long text
+is hashed whole.
+
+Candidates come in two ways. The SimHash of each set goes through the ball hashing of `simhash.links`: fingerprints
+within two bits meet on a common variant. That finds what differs by a few shingles, but of pairs at a similarity of
+0.8, whose fingerprints are some ten bits apart, only about 1 in 500, and a ball that holds ten bits has too many
+variants to emit. So two classes are candidates as well if a band of ROWS least hashes is equal in both; of BANDS bands,
+a pair of similarity s has none in common with a chance of (1 - s^ROWS)^BANDS: 1 in 9000 at 0.8, 1 in 2 million at 0.9.
+
+Each candidate is verified by its exact similarity before it counts as a link. The members of a bucket (the classes that
+share a band) are first compared with its smallest one. Where that doesn't connect all the others, every two of those
+are compared as well, by the product of their incidence matrices, large buckets in parts. So a group whose members are
+all near copies of one costs a comparison a member, a loose one the square of its bucket, and no candidate that could
+join two components is left out.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaywise.llm import textkit
+from quaywise.llm import simhash, textkit
 from quaywise.llm.components import components
-from quaywise.llm.tables import cut, text_of
+from quaywise.llm.tables import cut, free, text_of
 
 WIDTH, ROWS, BANDS = 5, 6, 30
 #: The least similarity of near copies as a fraction.
@@ -73,21 +78,31 @@ def set_hash(some: np.ndarray) -> int:
     return int(textkit.mix(both).view(np.int64)[0])
 
 
-SIGNED = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def fingerprint(some: np.ndarray) -> int:
+    """The SimHash of a set of hashes as a signed long: bits that more than half of them have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(some), 65536):
+        ones += np.unpackbits(some[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(some), bitorder="little").view("<i8")[0])
+
+
+SIGNED = T.StructType([T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 @F.arrow_udf(SIGNED)
 def _signed(text: pa.Array) -> pa.Array:
-    c, n, keys = [], [], []
+    c, n, fps, keys = [], [], [], []
     for some in textkit.sliced(text):
         for t in some:
             s = shingles(t)
             c.append(set_hash(s))
             n.append(len(s))
+            fps.append(fingerprint(s))
             keys.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
     ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), lists], fields=[pa.field("c", pa.int64()), pa.field("n", pa.int32()), pa.field("bands", lists.type)])
+    names = ["c", "n", "fp", "bands"]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.int64()), lists], names=names)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -135,17 +150,32 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where(_alike(F.least("na", "nb").cast("long"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
 
+def ball_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, with sizes na, nb) of classes (c, n, fp) that the ball hashing of their fingerprints brings together.
+
+    All classes of one fingerprint meet its smallest one, and the smallest ones of two linked fingerprints each other.
+    """
+    some = classes.where("n > 0").select("c", "n", "fp")
+    first = cut(some.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("h")))
+    same = some.join(first, "fp").where("c <> h.c").select(F.col("h.c").alias("a"), F.col("c").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
+    met = simhash.links(first.select("fp"))
+    one, two = first.select(F.col("fp").alias("a"), F.col("h").alias("x")), first.select(F.col("fp").alias("b"), F.col("h").alias("y"))
+    met = met.join(one, "a").join(two, "b").select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    return same.union(met)
+
+
 def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) between classes (c, n, bands) that connect whatever candidates are near copies.
+    """Verified links (a, b) between classes (c, n, fp, bands) that connect whatever candidates are near copies.
 
     sets_of(c) gives (c, set) for a table of classes.
     """
     held = classes.select("c", "n", F.explode("bands").alias("key"))
     hubs = held.groupBy("key").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("_of")).where("_of > 1").select("key", "hub")
     buckets = cut(held.join(hubs, "key"))
-    sets = cut(sets_of(buckets.select("c").distinct()))
     star = buckets.where("c <> hub.c").select(F.col("hub.c").alias("a"), F.col("c").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    found = cut(_verified(_possible(star), sets))
+    pairs = cut(_possible(star.union(ball_candidates(classes))))
+    sets = cut(sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(buckets.select("c")).distinct()))
+    found = cut(_verified(pairs, sets))
     roots = components(found)
     at = buckets.where("c <> hub.c").join(roots, buckets.c == roots.node, "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     split = at.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_of")).where("_a <> _b")
@@ -159,22 +189,23 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Data
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near copies: that of the smallest id (nulls last), of one id that of the least text hash.
 
-    Ids, set hashes and bands are what is shuffled to choose; texts are shuffled to find those that have a candidate,
-    and the chosen rows. Rows equal in id and text can't be told apart; one of them stays.
+    Ids, set hashes, fingerprints and bands are what is shuffled to choose; texts are shuffled to find those that have a
+    candidate, and the chosen rows. Rows equal in id and text can't be told apart; one of them stays. Other columns keep
+    their values, whatever their names.
     """
-    key = {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_h": F.xxhash64(F.col("doc_id").isNull(), text_of())}
-    rows = docs.select("doc_id", "text").withColumns(key).withColumn("_s", _signed(text_of()))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("_k").alias("k"), F.col("_h").alias("h"))
-    classes = cut(rows.groupBy(F.col("_s.c").alias("c")).agg(F.min(first).alias("first"), F.first("_s.n").alias("n"), F.first("_s.bands").alias("bands")))
+    key, number = free(docs, "_key", "_number")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k"), F.xxhash64(F.col("doc_id").isNull(), text_of()).alias("h"))
+    slim = docs.select(place.alias("place"), text_of().alias("text"))
+    rows = slim.select("place", _signed(F.col("text")).alias("s"))
+    classes = cut(rows.groupBy(F.col("s.c").alias("c")).agg(F.min("place").alias("first"), F.first("s.n").alias("n"), F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        places = classes.join(wanted, "c").select("c", F.col("first.k").alias("_k"), F.col("first.h").alias("_h"))
-        found = docs.select("doc_id", "text").withColumns(key).join(places, ["_k", "_h"])
-        return found.groupBy("c").agg(F.min(text_of()).alias("text")).select("c", _sets(F.col("text")).alias("set"))
+        places = classes.join(wanted, "c").select("c", F.col("first").alias("place"))
+        return slim.join(places, "place").groupBy("c").agg(F.min("text").alias("text")).select("c", _sets(F.col("text")).alias("set"))
 
     roots = components(links(classes, sets_of))
     member = classes.join(roots, classes.c == roots.node, "left").select("first", F.coalesce("root", "c").alias("root"))
-    chosen = member.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.k").alias("_k"), F.col("least.h").alias("_h"))
-    kept = docs.withColumns(key).join(chosen.distinct(), ["_k", "_h"], "left_semi")
-    once = F.row_number().over(W.partitionBy("_k", "_h").orderBy("_k"))
-    return kept.withColumn("_n", once).where("_n = 1").select(docs.columns)
+    chosen = member.groupBy("root").agg(F.min("first").alias(key)).select(key).distinct()
+    kept = docs.withColumn(key, place).join(chosen, key, "left_semi")
+    once = F.row_number().over(W.partitionBy(key).orderBy(key))
+    return kept.withColumn(number, once).where(F.col(number) == 1).select(*[f"`{c}`" for c in docs.columns])

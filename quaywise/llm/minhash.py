@@ -7,7 +7,8 @@ universal hashes of its number, and after these the one that comes first in an o
 bin, so that texts agree on it as often as their shingles do. Of each bin the low BITS bits are stored, packed into
 64-bit words; likeness is the share of equal bins, corrected for equal bits by chance.
 
-Null texts count as empty; texts without words have the fingerprint zero, equal to each other.
+Null texts count as empty; texts without words have the fingerprint zero, equal to each other. A very long text is
+fingerprinted whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from quaywise.llm.tables import NOT_SPACE, text_of
 
 WIDTH, BINS, BITS = 5, 256, 8
+#: Rows of a bucket of neighbouring ids, about, and the most buckets of each of the two levels.
+BUCKET_ROWS, OUTER, INNER = 3000, 1024, 1024
 #: Multiplier and offset of the universal hashes that empty bins try in turn.
 TRIES = tuple((2654435761 + 2 * 40503 * t * t + 2 * t, 97 + 1013904223 * t % 65521) for t in range(1, 9))
 LOW = (1 << 56) - 1
@@ -103,50 +106,63 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), ((1 - unlike / F.lit(float(BINS))) - chance) / (1 - chance))
 
 
-def _edges(docs: DataFrame, rows_per_bucket: int, most: int) -> tuple[list[int], int | None]:
-    """Ids that begin a bucket, in descending order, and the largest id."""
-    n, top = docs.agg(F.count("*"), F.max("doc_id")).first()
-    buckets = min(most, -(-n // rows_per_bucket))
-    if top is None or buckets < 2:
-        return [], top
-    cuts = [i / buckets for i in range(1, buckets)]
-    got = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 10 * buckets)))).first()[0]
-    return sorted(set(got) - {top}, reverse=True), top
+def _edges(ids: DataFrame, outer: int, inner: int, top: int) -> DataFrame:
+    """One row: `outer`, the ids that begin all outer buckets but the first, in descending order; `inner`, the same of the inner ones of each.
 
+    Edges are ids that exist, so every bucket has the row that it begins with. Both levels hold some OUTER and OUTER * INNER
+    ids at most, whatever the input.
+    """
+
+    def cut(n: int) -> Column:
+        return F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 10 * n))) if n > 1 else F.array().cast("array<long>")
+
+    def descending(edges: Column, first: Column) -> Column:
+        return F.reverse(F.array_sort(F.array_except(edges, F.array(first))))
 
-def _bucket(x: Column, edges: list[int]) -> Column:
-    """How many edges are at least x: two steps of counting, in blocks of about the square root of their number."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, round(len(edges) ** 0.5))
-    blocks = [edges[i : i + step] for i in range(0, len(edges), step)]
-    lits = lambda v: F.array(*[F.lit(e).cast("long") for e in v])
-    block = F.greatest(F.size(F.filter(lits([b[0] for b in blocks]), lambda e: e >= x)) - 1, F.lit(0))
-    return _let(block, lambda k: k * step + F.size(F.filter(F.get(F.array(*map(lits, blocks)), k), lambda e: e >= x)))
+    first = ids.agg(descending(cut(outer), F.lit(top).cast("long")).alias("outer"))
+    rows = ids.withColumn("_e", first.scalar()).select("doc_id", _above(F.col("_e"), F.col("doc_id")).alias("o")).groupBy("o").agg(cut(inner).alias("cuts"), F.max("doc_id").alias("first"))
+    each = rows.select("o", descending(F.col("cuts"), F.col("first")).alias("edges"))
+    lists = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "edges"))), lambda r: r["edges"]).alias("inner"))
+    return lists.withColumn("outer", first.scalar())
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 3000, most: int = 1 << 16) -> DataFrame:
+def _above(edges: Column, x: Column) -> Column:
+    """How many edges are at least x."""
+    return F.size(F.filter(edges, lambda e: e >= x))
+
+
+def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """docs with next_<column>: its value in the next row by descending doc_id (null ids last), the first row's in the last.
 
     Rows are dealt into buckets of neighbouring ids, whose first ids also go, as ghosts, to the bucket before, so each
-    row finds the next one in its own bucket. Rows of one id follow each other by `columns`.
+    row finds the next one in its own bucket and texts are shuffled once. Buckets hold about rows_per_bucket rows, or, of
+    more than 3 thousand million documents, a millionth of all. Rows of one id follow each other by `columns`; null ids
+    share the last bucket.
     """
-    ids = docs.select("doc_id")
-    edges, top = _edges(ids, rows_per_bucket, most)
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    n, top = ids.agg(F.count("*"), F.max("doc_id")).first()
+    buckets = -(-n // rows_per_bucket)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    b = _bucket(key, edges)
-    last = len(edges)
-    ghosts = [F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("g"))] if edges else []
     first = F.col("doc_id").eqNullSafe(F.lit(top).cast("long"))
-    places = F.concat(
-        F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g"))),
-        *[F.when(F.col("doc_id").isin(edges), F.array(g)).otherwise(F.array().cast("array<struct<b:int,g:int>>")) for g in ghosts],
-        F.when(first, F.array(F.struct(F.lit(last).alias("b"), F.lit(2).alias("g")))).otherwise(F.array().cast("array<struct<b:int,g:int>>")),
-    )
-    rows = docs.withColumn("_b", b.cast("int")).withColumn("_p", F.explode(places))
+    none = F.array().cast("array<struct<b:int,g:int>>")
+    here = lambda b, g: F.array(F.struct(b.cast("int").alias("b"), F.lit(g).alias("g")))
+    if buckets < 2:
+        rows = docs.withColumn("_p", F.explode(F.concat(here(F.lit(0), 0), F.when(first, here(F.lit(0), 2)).otherwise(none))))
+    else:
+        outer = min(OUTER, buckets)
+        edges = _edges(ids, outer, min(INNER, -(-buckets // outer)), top)
+        e = edges.select(F.struct("outer", "inner")).scalar()
+        rows = docs.withColumn("_e", e).withColumn("_o", _above(F.col("_e.outer"), key))
+        rows = rows.withColumn("_l", F.get("_e.inner", F.col("_o"))).withColumn("_i", _above(F.col("_l"), key))
+        o, i, count = F.col("_o"), F.col("_i"), lambda x: F.size(F.get("_e.inner", x))
+        begins = F.when(i > 0, F.get("_l", i - 1)).otherwise(F.get("_e.outer", o - 1))
+        before = F.when(i > 0, o * INNER + i - 1).otherwise((o - 1) * INNER + count(o - 1))
+        last = F.size("_e.outer")
+        places = F.concat(here(o * INNER + i, 0), F.when(F.col("doc_id") == begins, here(before, 1)).otherwise(none), F.when(first, here(last * INNER + count(last), 2)).otherwise(none))
+        rows = rows.withColumn("_p", F.explode(places)).drop("_e", "_o", "_l", "_i")
     order = W.partitionBy("_p.b").orderBy("_p.g", F.col("doc_id").desc_nulls_last(), *columns)
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return rows.where("_p.g = 0").drop("_b", "_p")
+    return rows.where("_p.g = 0").drop("_p")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ taken for a smaller target is always part of what is taken for a larger one.
 
 Null texts have size 0; null ids hash as the empty text; a null source is a source, the last in order. A document is
 taken if the middle of its words lies within the budget, so a source's words miss the target by half a document at most.
-Rows equal in source, id and size can't be told apart: as many of them are taken as fit. Documents of size 0 are taken 0 times.
+Rows of one id and size are ordered by a hash of their texts; rows equal in all of these can't be told apart, and as many
+of them are taken as fit. Documents of size 0 are taken 0 times. A very long text is counted whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.llm.tables import NOT_SPACE, cut
+from quaywise.llm.tables import NOT_SPACE, cut, free
 
 #: Bits of the hash that each of the two histograms looks at.
 CELL_BITS = 12
@@ -35,9 +36,18 @@ def id_hash(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _place(h: Column, doc_id: Column, size: Column, text_hash: Column) -> Column:
+    """The place of a row in the order of its source: by hash, id (null first), size, and the hash of the text where these tie."""
+    return F.struct(h.alias("h"), doc_id.cast("long").alias("doc_id"), size.alias("size"), text_hash.alias("text"))
+
+
+def _slim_place() -> Column:
+    return _place(*map(F.col, ("h", "doc_id", "size", "text_hash")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the two cells and the hash h of every row, without the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), id_hash().alias("h"))
+    """doc_id, source, size, a hash of the text, the hash h of the id and its two cells, of every row, without the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), id_hash().alias("h"), F.xxhash64("text").alias("text_hash"))
     return rows.withColumns({"cell": F.shiftright("h", 60 - CELL_BITS), "sub": F.shiftright("h", 60 - 2 * CELL_BITS)})
 
 
@@ -96,28 +106,55 @@ def _small(by_source: DataFrame) -> DataFrame:
     return F.broadcast(by_source) if by_source.count() <= BROADCAST_ROWS else by_source
 
 
-def _placed(rows: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with their source's limits; and of those in a boundary cell, (source, h, doc_id, size) with their copies."""
-    both = _beside(rows, _small(limits.withColumnsRenamed({"cell": "_c", "sub": "_u"})), "left")
-    edge = both.where(F.col("sub") == F.col("_u"))
-    run = W.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+def _cut_keys(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Of each source with a boundary cell, the last place (`edge`) that the budget reaches there, and how many rows of that place fit.
+
+    Only the rows of boundary cells are ordered, and without their texts. The middles of rows rise with their order, so
+    what is taken of a cell is its beginning, and one place a source says where it ends.
+    """
+    inside = _beside(rows.select("source", "sub", "size", _slim_place().alias("place")), _small(limits.where("sub is not null").select("source", F.col("sub").alias("_u"), "before", "budget"))).where("sub = _u")
+    run = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2
-    return both, edge.withColumn("copies", F.col("whole") + (middle <= F.col("budget")).cast("int"))
+    taken = inside.withColumn("middle", middle).where(F.col("middle") <= F.col("budget")).groupBy("source", "place").agg(F.count("*").alias("fit"))
+    return taken.groupBy("source").agg(F.max("place").alias("edge"), F.max_by("fit", "place").alias("fit"))
+
+
+def settled(rows: DataFrame, **how: object) -> DataFrame:
+    """One row a source of `rows` (of `sized`): source_size, target, whole copies, the cell `sub` of the boundary, edge and fit."""
+    limits = thresholds(rows, **how)
+    return cut(_beside(limits, _cut_keys(rows, limits), "left"))
 
 
-def mix(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Every row of `rows` (of `sized`, and other columns) with source_size, target and copies.
+def _with_copies(rows: DataFrame, limits: DataFrame, name: str, source: Column, h: Column, place: Column) -> tuple[DataFrame, str]:
+    """rows with a column `name`, how often the mix takes the row by the limits of `settled`; and the name of the column that holds these.
 
-    Only documents in boundary cells are ordered; all others are decided by comparing their cell with the threshold.
+    Working columns go under names that rows doesn't have. Rows are decided one by one against their source's limits, by
+    their cell and, in the boundary cell alone, by their place; only rows that share the very place of a boundary (one id,
+    size and text hash) are numbered.
     """
-    both, edge = _placed(rows, limits)
-    below = F.coalesce((F.col("sub") < F.col("_u")).cast("int"), F.lit(0))
-    plain = both.where(F.col("_u").isNull() | (F.col("sub") != F.col("_u"))).withColumn("copies", F.col("whole") + below)
-    return plain.unionByName(edge).drop("_c", "_u", "before", "budget", "whole", "cell", "sub", "h")
+    mine, lim, at = free(rows, "_mix", "_limit", "_place")
+    both = rows.withColumn(mine, F.struct(source.alias("source"), F.shiftright(h, 60 - 2 * CELL_BITS).alias("sub")))
+    both = both.join(_small(limits.select(F.struct("*").alias(lim))), F.col(f"{mine}.source").eqNullSafe(F.col(f"{lim}.source")), "left")
+    sub, edge_sub, edge, whole = F.col(f"{mine}.sub"), F.col(f"{lim}.sub"), F.col(f"{lim}.edge"), F.col(f"{lim}.whole")
+    both = both.withColumn(at, F.when(F.coalesce(sub == edge_sub, F.lit(False)), place))
+    at_edge = F.coalesce(F.col(at) == edge, F.lit(False))
+    below = F.coalesce((sub < edge_sub) | (F.col(at) < edge), F.lit(False))
+    number = F.row_number().over(W.partitionBy(f"{mine}.source", at).orderBy(f"{mine}.sub"))
+    plain = both.where(~at_edge).withColumn(name, whole + below.cast("int"))
+    tied = both.where(at_edge).withColumn(name, whole + (number <= F.col(f"{lim}.fit")).cast("int"))
+    return plain.unionByName(tied).drop(mine, at), lim
+
+
+def mixed(docs: DataFrame, **how: object) -> DataFrame:
+    """docs with each row as often as the mix takes it; all columns keep their values, whatever their names."""
+    limits = settled(cut(sized(docs)), **how)
+    name, step = free(docs, "_copies", "_copy")
+    rows, _ = _with_copies(docs.where(F.col("text").rlike(NOT_SPACE)), limits, name, F.col("source"), id_hash(), _place(id_hash(), F.col("doc_id"), word_count(), F.xxhash64("text")))
+    return rows.where(F.col(name) > 0).withColumn(step, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixture(docs: DataFrame, **how: object) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of it, repeats counted) for every row of docs."""
-    rows = cut(sized(docs))
-    out = mix(rows, thresholds(rows, **how))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    slim = cut(sized(docs))
+    rows, lim = _with_copies(slim, settled(slim, **how), "copies", F.col("source"), F.col("h"), _slim_place())
+    return rows.select("doc_id", "size", f"{lim}.source_size", f"{lim}.target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

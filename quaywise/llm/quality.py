@@ -1,11 +1,13 @@
 """Quality: supervised subword embeddings, averaged per document, with a softmax output.
 
-A document's features are its white-space separated words, its pairs of neighbouring words (a word followed by itself
-is one feature, whatever the word) and its character n-grams (2 and 3 code points), hashed into buckets. Each bucket has a learned vector; the mean of a document's vectors goes through a softmax layer. Both are
-trained by stochastic gradient descent, a document a step. The softmax of two classes depends on the vectors only
-through their product with the difference of the two output rows, so scoring keeps one number a bucket.
-
-Null and empty texts get the score of the bias alone. Without labels to learn from the score is 0.5.
+A document's features are its white-space separated words, its pairs of neighbouring words and its character n-grams (2
+and 3 code points), hashed into buckets. Each bucket has a learned vector; the mean of a document's vectors goes through
+a softmax layer. Both are trained by stochastic gradient descent, a document a step. The softmax of two classes depends
+on the vectors only through their product with the difference of the two output rows, so scoring keeps one number a
+bucket.
+
+Null and empty texts get the score of the bias alone. Without labels to learn from the score is 0.5. A very long text is
+averaged whole, as any other; a task takes texts by the hundred thousand characters, or one at a time if longer.
 """
 
 from __future__ import annotations
@@ -54,7 +56,6 @@ def _buckets(some: list[str], p: QualityParams) -> Iterator[tuple[np.ndarray, np
     doc = np.searchsorted(begins, first, "right") - 1
     yield doc, (words >> np.uint64(64 - p.bits)).astype(np.int32)
     pair = textkit.mix(words[:-1] * np.uint64(3) + words[1:]) >> np.uint64(64 - p.bits)
-    pair[words[:-1] == words[1:]] = 0
     same = doc[:-1] == doc[1:]
     yield doc[1:][same], pair[same].astype(np.int32)
 

@@ -1,19 +1,24 @@
-"""Substring dedup by an exact window index over blocks of the corpus itself, with relative Lempel-Ziv factors on request.
+"""Substring dedup by relative Lempel-Ziv parsing: documents are factored against the indexed blocks of the corpus itself.
 
-The corpus is dealt into reference blocks of a bounded size, and a block's index are its seeds: the hashes of all runs
-of `window` words. Every window that an index has at an earlier place (smaller id, or the same document and an earlier start) is
-marked, and the words of all marked windows are the duplicate spans: no window with an earlier copy is missed, and none
-without one is taken. This is no greedy parse. The query and the pipeline's stage use the marks alone; with factors=True
-(`duplicate_spans`) marked windows that follow each other, as their references do, are put together as factors.
+The corpus is dealt into reference blocks of a bounded size. A block's index are its seeds: the hashes of all runs of
+`window` words, each with the first place it stands at. The reference of a window is the earliest place in any block's
+index (smaller id, or the same document and an earlier start). A document is parsed from left to right: at the first
+window with a reference a factor begins and goes on as long as the reference does, word by word inside its own block, by
+the references that advance with it in another. The parse goes on behind the factor, but for the check at its end: the
+windows that cross it, of which the factor says nothing, are looked up like any other, and the first of them with a
+reference begins the next factor. So every word that a window with an earlier copy covers lies in a factor, and no other
+word does. All factors are `window` words or longer; they are the duplicate spans, and what they cover is what goes.
 
 A document meets every block, but no block is sent to every document. Each window of 20 words is represented by its
 least 8-gram (its anchor; neighbours mostly share it); blocks exchange their distinct anchors, and only windows whose
 anchor occurs in another block are looked up in the distributed index, as 96-bit hashes, one row for each distinct
 window of a block. So a passage that a third of all documents hold is one row a block, not one a document, and what
-repeats inside a block is settled there.
+repeats inside a block is settled there. Inside a block a factor's words are compared; across blocks equality is that of
+96 bits (for the 10^13 windows of 100 TB, one wrong match is to be expected in about a thousand runs).
 
 Words are runs of anything but ASCII white space, unchanged. Null texts have no words. Null ids come last in the order;
-documents of one id are ordered by block, and by text inside it.
+documents of one id are ordered by block, and by text inside it. Repeated rows are dealt by the partition they were read
+in as well, so that they don't all meet in one block. A very long text is a block of its own if longer than one.
 """
 
 from __future__ import annotations
@@ -125,7 +130,7 @@ def _blocks(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-total // block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(number)))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(number)))
 
 
 def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
@@ -178,6 +183,40 @@ PARSED = T.StructType(
 )
 
 
+def _factors(block: Block, at: np.ndarray, ref_at: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(number of the window it begins with, start, length) of each factor of a block's documents, in order.
+
+    at are the starts of the windows that have a reference, in order; ref_at are the references: a place in the block, or,
+    with the number of another block in the upper half, one that is there.
+    """
+    if not len(at):
+        return []
+    words, doc, ends = block.words, block.doc, block.begins[1:]
+    breaks = np.flatnonzero((at[1:] != at[:-1] + 1) | (ref_at[1:] != ref_at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])) + 1
+    run_end = np.append(breaks, len(at))[np.searchsorted(breaks, np.arange(len(at)), "right")]
+    out, i = [], 0
+    while i < len(at):
+        start, ref = int(at[i]), int(ref_at[i])
+        length = int(run_end[i]) - i + window - 1
+        if ref < 1 << 32:
+            most = int(min(ends[doc[start]] - start, ends[doc[ref]] - ref))
+            same, step = 0, window
+            while same < most:
+                n = min(step, most - same)
+                differs = np.flatnonzero(words[start + same : start + same + n] != words[ref + same : ref + same + n])
+                if len(differs):
+                    same += int(differs[0])
+                    break
+                same, step = same + n, 2 * step
+            length = same
+        if length >= window:
+            out.append((i, start, length))
+            i = int(np.searchsorted(at, start + length - window + 1))  # the first window that crosses the end
+        else:
+            i += 1
+    return out
+
+
 def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), kept: bool = False, factors: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept and factors for every row of docs, and its columns `carry` as _c_<name>.
 
@@ -192,28 +231,26 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
         block = Block(left, window)
         starts = block.starts
         first = block.earliest(starts, *block.seeds(starts))
-        copy = first != np.arange(len(starts))
-        ref_doc, ref_start = block.ids[block.doc[starts[first]]], starts[first] - block.begins[block.doc[starts[first]]]
-        ref_at = starts[first]
+        copy, ref_at = first != np.arange(len(starts)), starts[first]
+        ref_doc, ref_start = block.ids[block.doc[ref_at]], ref_at - block.begins[block.doc[ref_at]]
         if len(right):
             far = np.searchsorted(starts, right.column("at").to_numpy())
             copy[far] = True
             for ours, name in ((ref_at, "ref_at"), (ref_doc, "ref_doc"), (ref_start, "ref_start"))[: 3 if factors else 1]:
                 ours[far] = right.column(name).to_numpy()
-        at = starts[copy]
-        ref_doc, ref_start, ref_at = ref_doc[copy], ref_start[copy], ref_at[copy]
+        found = _factors(block, starts[copy], ref_at[copy], window)
         edge = np.zeros(len(block.words) + 1, np.int64)
-        edge[at] += 1
-        edge[at + window] -= 1
+        begins, lengths = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
+        np.add.at(edge, begins, 1)
+        np.add.at(edge, begins + lengths, -1)
         gone = np.cumsum(edge[:-1]) > 0
         n_removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[block.begins])
         lists: list[list[dict]] = [[] for _ in block.ids]
-        if factors and len(at):
-            new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (ref_at[1:] != ref_at[:-1] + 1) | (block.doc[at[1:]] != block.doc[at[:-1]])))
-            heads = np.flatnonzero(new)
-            for i, n in zip(heads.tolist(), np.diff(np.append(heads, len(at))).tolist(), strict=True):
-                d = block.doc[at[i]]
-                lists[d].append({"start": int(at[i] - block.begins[d]), "length": n + window - 1, "ref_doc": int(ref_doc[i]), "ref_start": int(ref_start[i])})
+        if factors:
+            ref_doc, ref_start = ref_doc[copy], ref_start[copy]
+            for i, start, length in found:
+                d = block.doc[start]
+                lists[d].append({"start": int(start - block.begins[d]), "length": length, "ref_doc": int(ref_doc[i]), "ref_start": int(ref_start[i])})
         left_over, digests = [], []
         for i, d in enumerate(block.data):
             words = d.split()

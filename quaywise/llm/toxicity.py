@@ -6,7 +6,8 @@ the classes beyond chance are left out, and a logistic model is fitted on the re
 ratio and by how often it stands in the text (words that are rare slips in clean texts are frequent in toxic ones).
 
 Null and empty texts get the score of a text without features. Where no label of either class is there to learn from,
-the score is the share of label 1 among what was learnt from (0.5 without any).
+the score is the share of label 1 among what was learnt from (0.5 without any). A very long text is scored whole, as any
+other; a task takes texts by the hundred thousand characters, or one at a time if longer.
 """
 
 from __future__ import annotations

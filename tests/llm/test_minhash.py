@@ -92,3 +92,15 @@ def test_likeness_is_near_the_jaccard_similarity(spark):
 def test_no_python_in_the_plan(spark):
     plan = m.fingerprints(odd.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize(("outer", "inner", "per_bucket"), [(3, 4, 5), (64, 64, 1), (2, 1024, 7)])
+def test_next_row_over_two_levels_of_buckets(spark, monkeypatch, outer, inner, per_bucket):
+    monkeypatch.setattr(m, "OUTER", outer)
+    monkeypatch.setattr(m, "INNER", inner)
+    rng = random.Random(outer)
+    ids = [rng.randrange(-(10**15), 10**15) for _ in range(60)] + [5, 5, 5, 7, 7, -(1 << 63), (1 << 63) - 1] + [None] * 3
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    got = {r.text: r.next_text for r in m.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["text"], per_bucket).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))

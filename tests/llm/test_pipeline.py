@@ -3,8 +3,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as pipe
 import odd
+import test_jaccard
 import test_mixing
-import test_simhash
 from pyspark.sql import functions as F
 from quaywise.llm import quality, sentencepieces
 from quaywise.llm.tables import table
@@ -15,12 +15,9 @@ def words(text):
 
 
 def plain_near(rows):
-    """Of each component the row of the smallest id; ids are unique here."""
-    fps = [test_simhash.plain_fingerprint(t) for _, t, _ in rows]
-    roots, best = test_simhash.plain_components(fps), {}
-    for r, f in zip(rows, fps, strict=True):
-        best[roots[f]] = min(r, best.get(roots[f], r))
-    return sorted(best.values())
+    """Of each component of texts with a five-word Jaccard similarity of 0.8 or more, by all pairs, the row of the smallest id."""
+    kept = set(test_jaccard.plain_near([r[:2] for r in rows]))
+    return [r for r in rows if r[0] in kept]
 
 
 def plain_passages(rows, window=20):

@@ -73,3 +73,43 @@ def test_deduplicated_keeps_rows_and_columns(spark):
     out = rlz.deduplicated(df, block_bytes=400)
     assert out.columns == df.columns and out.count() == df.count()
     assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def plain_factors(words, ref_words, window):
+    """The greedy parse of one list of words against itself and one before it, by comparing words at every place."""
+    text = ref_words + words
+    first = {}
+    for p in [*range(len(ref_words) - window + 1), *range(len(ref_words), len(text) - window + 1)]:
+        first.setdefault(tuple(text[p : p + window]), p)
+    out, p = [], len(ref_words)
+    while p <= len(text) - window:
+        r = first[tuple(text[p : p + window])]
+        if r == p:
+            p += 1
+            continue
+        n, limit = 0, len(ref_words) if r < len(ref_words) else len(text)
+        while p + n < len(text) and r + n < limit and text[p + n] == text[r + n]:
+            n += 1
+        out.append((p - len(ref_words), n, 0 if r < len(ref_words) else 1, r if r < len(ref_words) else r - len(ref_words)))
+        p += n - window + 1
+    return out
+
+
+def test_factors_are_those_of_a_greedy_parse(spark):
+    rng = random.Random(11)
+    for k in range(4):
+        base = odd.words(k, 300)
+        text = []
+        while len(text) < 400:
+            a = rng.randrange(len(base) - 60)
+            text += base[a : a + rng.randrange(5, 60)] + odd.words(rng.randrange(10**6), rng.randrange(3))
+        df = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(text))], "doc_id long, text string").coalesce(1)
+        got = sorted((f.start, f.length, f.ref_doc, f.ref_start) for f in rlz.duplicate_spans(df).collect() if f.doc_id == 1)
+        assert got == plain_factors(text, base, 20)
+
+
+def test_repeated_rows_are_spread_over_blocks(spark):
+    row = (3, " ".join(odd.words(5, 200)))
+    df = spark.createDataFrame([row] * 40, "doc_id long, text string").repartition(8)
+    out = rlz.removal(df, block_bytes=3000).collect()
+    assert sorted(r.n_removed for r in out) == [0] + [200] * 39
