@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality filter, near-dedup, substring dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. A pass over an empty table gives an
-empty table; null texts count as empty; columns that a stage doesn't know are kept, but for those it adds itself.
+empty table; null texts count as empty; columns that a stage doesn't know keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaywise.llm import jaccard, mixing, quality, rlz, sentencepieces
-from quaywise.llm.tables import cut, table, written
+from quaywise.llm.tables import dropped, free, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.5 or more)."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_q", quality.score_column(docs, model)).where(F.col("_q") >= 0.5).drop("_q")
+    (score,) = free(docs, "_score")
+    return docs.withColumn(score, quality.score_column(docs, model)).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,23 +32,18 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = cut(mixing.sized(docs))
-    limits = mixing.thresholds(rows)
-    full = docs.withColumns({"size": mixing.word_count(), "h": mixing.id_hash()})
-    full = full.withColumns({"cell": F.shiftright("h", 60 - mixing.CELL_BITS), "sub": F.shiftright("h", 60 - 2 * mixing.CELL_BITS)})
-    mixed = mixing.mix(full, limits).where("copies > 0 and size > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
-    rows = sentencepieces.encoded(docs)
-    return rows.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """Documents with their token ids and the number of these; where docs has columns of these names, with an underscore behind."""
+    ids, number = free(docs, "token_ids", "n_tokens")
+    return sentencepieces.encoded(docs, name=ids).withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [
     ("7 quality classifier", keep_quality),
-    ("2 near-dedup", drop_near_duplicates),
+    ("2 SimHash near-dedup", drop_near_duplicates),
     ("10 substring dedup", drop_repeated_passages),
     ("3 mixing sources", mix_sources),
     ("5 SentencePiece encoding", encode),
@@ -58,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what each stage keeps is written to the shared folder and read again, and the table before it goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        path = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
