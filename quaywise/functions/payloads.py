@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaywise.functions.scalar import normalised
+
 # Names under which a series or a value may stand.
 SERIES_KEYS = ("forecast", "predictions", "prediction", "values", "results", "data", "mean", "value", "yhat")
 
@@ -63,16 +64,18 @@ def of_length(series: Column, n: int) -> Column:
     return F.when(size >= n, F.slice(series, 1, n)).when(size > 0, F.concat(series, more))
 
 
-def nearest(members: list[str], cutoff: float = 0.75):
-    """A column function that gives the member of a dimension most like a text (ratio of matching blocks), if any is like enough."""
-    known = {" ".join(m.lower().split()): m for m in members}
-
-    @F.pandas_udf(T.StringType())
-    def best(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            found = difflib.get_close_matches(" ".join((t or "").lower().split()), list(known), 1, cutoff)
-            return known[found[0]] if found else None
-
-        return text.map(one)
-
-    return best
+def nearest(asked: DataFrame, text: str, members: DataFrame, member: str, cutoff: float = 0.75) -> DataFrame:
+    """asked (distinct texts) with the member most like each, and how much (1 less the edits over the longer length), if that
+    is `cutoff` or more; accents, case and blanks aside, the first by name among equals.
+
+    Texts meet the members that they share two letters in a row with, or are equal to: at a cutoff of 0.75 any text that is
+    like enough does, as an edit changes two of these pairs at most.
+    """
+    key = lambda c: normalised(F.col(c))
+    pairs = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    left = asked.select(text, key(text).alias("_a")).select("*", F.explode(pairs(F.col("_a"))).alias("_p"))
+    right = members.select(member, key(member).alias("_b")).select("*", F.explode(pairs(F.col("_b"))).alias("_p"))
+    met = left.join(right, "_p").select(text, member, "_a", "_b").distinct()
+    like = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"))
+    best = met.withColumn("similarity", like).where(F.col("similarity") >= cutoff).groupBy(text).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(member).alias("m"))).alias("b"))
+    return asked.join(best, text, "left").select(text, F.col("b.m").alias(member), (-F.col("b.s")).alias("similarity"))

@@ -4,20 +4,45 @@ from __future__ import annotations
 
 import math
 import statistics
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Services and the words that name them, in order; tiers; intents.
 SERVICES = {
     "FIBRE": ("FIBER", "FIBRE", "FTTH", "OPTIC", "FIBRE_OPTIQUE"),
     "5G": ("5G", "FIXE JDID", "JDID", "HOME_5G"),
-    "DATA_BUNDLE": ("DATA", "GO", "GB", "BUNDLE", "INTERNET", "MOBILE"),
+    "DATA_BUNDLE": ("DATA", "GO", "GB", "BUNDLE", "INTERNET MOBILE"),
     "VOD": ("VOD", "VIDEO", "STREAM", "IPTV", "TV"),
 }
-BLANKS = ("", "nan", "none", "nat", "null")
-TRUE_WORDS = ("1", "true", "yes", "y", "oui", "o")
+BLANKS = ("", "nan", "none", "nat")
+TRUE_WORDS = ("true", "1", "yes", "y", "on", "t")
+TIERS = {"Premium": ("PREMIUM", "PRO", "BUSINESS", "ENTREPRISE"), "High-Speed": ("500", "1000", "2000", "HAUT", "HIGH"), "Standard": ("100", "200", "300", "STANDARD", "REGULAR")}
+DRIVERS = {
+    "sales_roll_3": "momentum commercial recent (moyenne des 3 dernieres periodes)",
+    "sales_roll_6": "tendance commerciale sur 6 periodes",
+    "sales_roll_12": "tendance annuelle lisse",
+    "sales_lag_1": "niveau de ventes de la periode precedente",
+    "sales_lag_2": "niveau de ventes deux periodes avant",
+    "sales_lag_3": "niveau de ventes trois periodes avant",
+    "sales_lag_12": "saisonnalite annuelle",
+    "nb_dealers_actifs": "couverture et activite du reseau de dealers",
+    "nb_ventes_promo": "volume de ventes sous promotion",
+    "pct_ventes_promo": "poids des promotions dans les ventes",
+    "prix_moyen": "prix moyen des offres vendues",
+    "month": "effet calendrier mensuel",
+    "month_sin": "saisonnalite intra-annuelle",
+    "month_cos": "saisonnalite intra-annuelle",
+    "quarter": "effet trimestre",
+    "trend_index": "tendance de fond",
+}
+#: Letters that are another one with marks, and that one (NFKD without the marks), for lower-cased text.
+_FOLDED = {chr(c): base for c in range(0xC0, 0x2000) if len(base := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)}
+#: How a date may be written: year first, or (where no value of a column is) day first.
+YEAR_FIRST = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")
+DAY_FIRST = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
 
 
 def six(x: Column) -> Column:
@@ -90,31 +115,57 @@ def cyclic(x: Column, period: float) -> tuple[Column, Column]:
 
 def normalised(x: Column) -> Column:
     """Lower-cased, without accents, `_` and `-` as spaces, white space collapsed."""
-    plain = F.translate(F.lower(x), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.regexp_replace(F.translate(F.lower(x), "".join(_FOLDED), "".join(_FOLDED.values())), r"\p{M}", "")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "[_-]", " "), r"\s+", " "))
 
 
+def with_dates(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with `name`, the timestamp in a text column: year first; day first only if no value of the column is year first."""
+    text = F.trim(F.col(column).cast("string"))
+    read = lambda formats: F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    some = rows.agg(F.count(read(YEAR_FIRST))).scalar()
+    return rows.withColumn(name, F.when(some > 0, read(YEAR_FIRST)).otherwise(read(DAY_FIRST)))
+
+
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
 def service_of(x: Column, default: str = "UNKNOWN") -> Column:
     """The first service one of whose words occurs in the text."""
     t = F.upper(F.coalesce(x.cast("string"), F.lit("")))
-    return chain([(reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words]), name) for name, words in SERVICES.items()], default)
+    return chain([(_has_any(t, words), name) for name, words in SERVICES.items()], default)
+
+
+def service_alias(code: Column) -> Column:
+    """The service's code in the warehouse: DATA stands for DATA_BUNDLE."""
+    return F.when(F.upper(code) == "DATA", "DATA_BUNDLE").otherwise(F.upper(code))
 
 
 def tier_of(x: Column) -> Column:
     """Product tier by words in its name."""
     t = F.upper(F.coalesce(x.cast("string"), F.lit("")))
-    return chain([(t.rlike("PREMIUM|GOLD|ULTRA|POLISHED"), "Premium"), (t.rlike("HIGH|FAST|SPEED|ANODIZED"), "High-Speed"), (t.rlike("STANDARD|BASIC|PLATED"), "Standard")], "Service")
+    return chain([(_has_any(t, words), name) for name, words in TIERS.items()], "Service")
+
+
+def driver_label(feature: Column) -> Column:
+    """What a feature of a forecast means to a business; its name in words where that isn't stated."""
+    return chain([(feature == f, label) for f, label in DRIVERS.items()], F.replace(feature, F.lit("_"), F.lit(" ")))
+
+
+def citation(source: Column, page: Column, chunk: Column) -> Column:
+    return F.format_string("%s#p%s-c%s", source, page.cast("string"), chunk.cast("string"))
 
 
 def valid_msisdn(x: Column) -> Column:
     """Digits only; with the prefix 216 at least 11, else at least 8."""
-    digits = F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"\D", "")
+    digits = F.regexp_replace(F.coalesce(safe_str(x), F.lit("")), r"\D", "")
     return F.when(F.startswith(digits, F.lit("216")), F.length(digits) >= 11).otherwise(F.length(digits) >= 8)
 
 
 def percent_in(x: Column) -> Column:
-    """The first signed percentage in a text as a fraction."""
-    return F.regexp_extract(x, r"([+-]?\d+(?:\.\d+)?)\s*%", 1).try_cast("double") / 100
+    """The first percentage in a text, which may be negative, as a fraction."""
+    return F.regexp_extract(x, r"(-?\d+(?:\.\d+)?)\s*%", 1).try_cast("double") / 100
 
 
 def tokens(x: Column) -> Column:

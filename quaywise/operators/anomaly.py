@@ -8,23 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.functions.scalar import chain, ratio
+from quaywise.functions.calendar import of_year
+from quaywise.functions.scalar import all_of, chain, ratio
 from quaywise.operators.series import neighbour_mean
 
 
+# The types of anomalies, what may have caused them and what to do.
+DATA_QUALITY, SPIKE, DROP, GRADUAL = "Data Quality Issue", "Unexpected Spike", "Unexpected Drop", "Gradual Anomaly"
+ACTIONS = {
+    DATA_QUALITY: "Validate data source integrity and correct if necessary. Check ETL pipeline for ingestion errors.",
+    SPIKE: "Verify promotion activity and adjust forecast. Ensure stock levels are sufficient to sustain demand.",
+    DROP: "Check inventory status, logistics pipeline and network health. Escalate to supply chain team.",
+    GRADUAL: "Monitor trend over next 7 days. Cross-reference with competitor activity and pricing changes.",
+}
+CAUSES = {
+    SPIKE: "Hausse anormale des ventes — promotion flash, activation en masse de dealers ou effet viral probable.",
+    DROP: "Baisse anormale des ventes — rupture de stock, incident réseau ou perturbation logistique probable.",
+    DATA_QUALITY: "Ventes nulles enregistrées alors que la période voisine est non nulle — erreur ETL ou panne système POS probable.",
+    GRADUAL: "Dérive progressive des ventes — pression concurrentielle, changement tarifaire ou churn saisonnier probable.",
+}
+ACTIONS_OF_REVIEW = ("reviewed", "dismissed", "escalated")
+
+
 def scored(rows: DataFrame, keys: list[str], value: str, threshold: float = 2.5, residual: str | None = None) -> DataFrame:
-    """Rows whose residual lies `threshold` deviations off or that are 0 in a series that isn't; with expected value,
-    type, severity and score. Series of fewer than 3 rows have none."""
+    """Rows whose residual lies `threshold` deviations off or that are 0 in a series that isn't; with expected value (the
+    mean of up to three neighbours on either side), type, severity and score. Series of fewer than 3 rows have none."""
     w = W.partitionBy(*keys)
     r = residual or value
     std = F.coalesce(F.nullif(F.stddev_samp(r).over(w), F.lit(0.0)), F.lit(1.0))
     rows = rows.withColumns({"z": (F.col(r) - F.avg(r).over(w)) / std, "_n": F.count("*").over(w), "_mean": F.avg(value).over(w), "expected": neighbour_mean(value, keys)})
     zero = (F.col(value) == 0) & (F.col("_mean") > 0)
     hit = rows.where((F.col("_n") >= 3) & (zero | (F.abs("z") >= threshold)))
-    kind = chain([(zero, "data_quality"), (F.col("z") >= threshold, "spike"), (F.col("z") <= -threshold, "drop")], "gradual")
     return hit.withColumns(
         {
-            "anomaly_type": kind,
+            "anomaly_type": chain([((F.col(value) == 0) & (F.col("expected") > 0), DATA_QUALITY), (F.col("z") >= threshold, SPIKE), (F.col("z") <= -threshold, DROP)], GRADUAL),
             "severity": F.when(zero | (F.abs("z") >= 1.2 * threshold), "high").otherwise("medium"),
             "score": F.when(zero, 0.9).otherwise(F.least(F.lit(1.0), F.abs("z") / (2 * threshold))),
             "variance_pct": F.coalesce(ratio((F.col(value) - F.col("expected")) * 100, F.col("expected")), F.lit(-100.0)),
@@ -32,6 +49,29 @@ def scored(rows: DataFrame, keys: list[str], value: str, threshold: float = 2.5,
     ).drop("_n", "_mean")
 
 
+def advised(found: DataFrame) -> DataFrame:
+    """Anomalies with what to do about their type."""
+    return found.withColumn("action_recommended", chain([(F.col("anomaly_type") == k, v) for k, v in ACTIONS.items()], "Investigate manually."))
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """Anomalies (anomaly_type, has_rupture, event) with a cause where no document says more: a rupture of stock, else that of
+    the type, with the event that it coincides with."""
+    cause = chain([(F.col("anomaly_type") == k, v) for k, v in CAUSES.items()], "Cause indéterminée — investigation manuelle requise.")
+    return found.withColumn("cause", F.when(F.col("has_rupture"), "Rupture de stock confirmée").when(F.col("event").isNotNull(), F.concat(cause, F.lit(" Coïncide avec l'événement : "), F.col("event"), F.lit("."))).otherwise(cause))
+
+
+def selected(found: DataFrame, order: list[str], severity: str | None = None, kind: str | None = None, k: int = 50) -> DataFrame:
+    """The k anomalies of the highest score, of a severity and a type if given; ties in the order of the given columns."""
+    keep = all_of([None if severity in (None, "all") else F.col("severity") == severity, None if kind in (None, "all") else F.col("anomaly_type") == kind])
+    return found.where(keep).orderBy(F.desc("score"), *order).limit(k)
+
+
+def most_urgent(found: DataFrame, order: list[str], k: int = 10) -> DataFrame:
+    """The first k anomalies, those of high severity before the others."""
+    return found.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), *order).limit(k)
+
+
 def decomposed(rows: DataFrame, keys: list[str], value: str, period: int = 12) -> DataFrame:
     """Classical decomposition as windows: centred mean as trend, mean of each phase as season, and the rest; series of
     fewer than two periods and a row keep their values as residuals."""
@@ -139,15 +179,25 @@ def merged(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Anomalies by severity and type, and the share that both passes found (percent)."""
     count = lambda c, v: F.count_if(F.col(c) == v)
-    return found.groupBy(*keys).agg(F.count("*").alias("total"), count("severity", "high").alias("high"), count("severity", "medium").alias("medium"), *[count("anomaly_type", t).alias(t) for t in ("data_quality", "spike", "drop", "gradual")])
+    both = count("method", "combined") if "method" in found.columns else F.lit(0)
+    return found.groupBy(*keys).agg(
+        F.count("*").alias("total"),
+        count("severity", "high").alias("high_severity"),
+        count("severity", "medium").alias("medium_severity"),
+        count("anomaly_type", SPIKE).alias("spikes"),
+        count("anomaly_type", DROP).alias("drops"),
+        count("anomaly_type", DATA_QUALITY).alias("data_quality"),
+        (both * 100 / F.count("*")).alias("detection_accuracy_pct"),
+    )
 
 
 def flagged(series: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The series by date with the best score found on it, if any."""
-    best = found.groupBy("date").agg(F.max("score").alias("score"), F.max_by("severity", "score").alias("severity"))
+    """The series by date with what is known of the anomaly of the highest score on it, if any (ties by key)."""
+    best = found.groupBy("date").agg(F.max_by(F.struct("anomaly_type", "severity", "z", "expected", "score"), F.struct("score", *keys)).alias("b"))
     total = series.groupBy("date").agg(F.sum(value).alias("total"))
-    return total.join(best, "date", "left").select("date", "total", F.col("score").isNotNull().alias("is_anomaly"), "score", "severity")
+    return total.join(best, "date", "left").select("date", "total", F.col("b").isNotNull().alias("is_anomaly"), "b.anomaly_type", "b.severity", "b.z", "b.expected", "b.score")
 
 
 def without_reviewed(found: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -155,8 +205,8 @@ def without_reviewed(found: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def nearest_event(rows: DataFrame, days: tuple[tuple[str, str], ...], within: int = 15) -> DataFrame:
-    """The nearest annual event of the row's own year within so many days; of equally near ones the one listed first."""
-    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("event"), F.lit(d).alias("md")) for i, (n, d) in enumerate(days)])
-    far = lambda e: F.abs(F.datediff("date", F.concat(F.year("date").cast("string"), F.lit("-"), e["md"]).cast("date")))
-    near = F.array_min(F.filter(F.transform(each, lambda e: F.struct(far(e).alias("days"), e["ord"].alias("ord"), e["event"].alias("event"))), lambda e: e["days"] <= within))
+    """The nearest event within so many days: dated ones, and those of every year in the row's own; of equally near ones the one listed first."""
+    on = lambda d: F.lit(d).cast("date") if len(d) == 10 else of_year(F.year("date"), d)
+    each = F.array(*[F.struct(F.abs(F.datediff("date", on(d))).alias("days"), F.lit(i).alias("ord"), F.lit(n).alias("event")) for i, (n, d) in enumerate(days)])
+    near = F.array_min(F.filter(each, lambda e: e["days"] <= within))
     return rows.withColumn("_e", near).withColumns({"event": F.col("_e.event"), "event_days": F.col("_e.days")}).drop("_e")

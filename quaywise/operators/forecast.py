@@ -1,21 +1,65 @@
 """Forecasts per series, their errors, backtests and choices between models.
 
-The plain models are windows and joins. Models that have to be fitted run in numpy, one series a group: a series is a
-few hundred periods at most (months or days of one member), so a group is bounded by the calendar, not by the sales.
+The plain models are windows and joins. Models that have to be fitted run in numpy, a series and model (and fold) a group:
+a series is a few hundred periods at most (months or days of one member), so a group is bounded by the calendar, not by
+the sales, and there are as many as there are members.
 """
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.functions.scalar import chain, ratio
+from quaywise.functions.scalar import chain, percent_in, ratio
 from quaywise.operators.series import latest, over
 
+# Models in order of preference, months of history that models need, horizons at most, and libraries of models.
 PREFERENCE = ("patchtst", "autogluon", "seasonal_naive", "lstm", "prophet", "naive_last")
+LEAST_HISTORY = {"lstm": 8, "patchtst": 8, "autogluon": 8, "prophet": 8, "sarima": 8}
+HORIZONS = {"day": 6, "month": 12}
+LIBRARIES = {"patchtst": "neuralforecast", "autogluon": "autogluon", "chronos": "chronos"}
+BASELINES = ("naive_last", "seasonal_naive")
+
+
+def horizon_of(asked: int, unit: str) -> int:
+    return min(asked, HORIZONS[unit])
+
+
+def holdout_size(n: int, horizon: int, unit: str) -> int:
+    """Periods to hold out of n: as many as are to be forecast, but 3 months or 7 days at least, and one to learn from stays."""
+    if n <= 2:
+        return 1
+    return max(1, min(max(3 if unit == "month" else 7, min(horizon, HORIZONS[unit])), n - 1))
+
+
+def available() -> list[str]:
+    """The models of other libraries that could run here."""
+    return [model for model, library in LIBRARIES.items() if find_spec(library)]
+
+
+def service_asked(asked: str | None, detected: str | None, known: DataFrame) -> str | None:
+    """The service to forecast: the one asked for, else the one that an upload was detected to be of, else None for all.
+
+    known: service_code, one row a service, as many as there are services. An unknown one that was asked for is an error.
+    """
+    codes = {r[0] for r in known.select(F.upper(F.trim("service_code"))).distinct().collect()}
+    code = (asked or "").strip().upper()
+    if code:
+        if code not in codes | {"ALL", "*"}:
+            raise ValueError(f"there are no sales of the service {code}")
+        return None if code in ("ALL", "*") else code
+    code = (detected or "").strip().upper()
+    return code if code in codes else None
+
+
+def effective_model(model: str, n: Column, season: int = 12) -> Column:
+    """The model, or a naive one where the history (n periods) is too short for it."""
+    return F.when(n >= LEAST_HISTORY.get(model, 1), model).when(n >= season, "seasonal_naive").otherwise("naive_last")
 
 
 def numbered(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,9 +105,9 @@ def ensemble(forecasts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def weighted_ensemble(forecasts: DataFrame, errors: DataFrame, keys: list[str], best: int = 3) -> DataFrame:
-    """The best models by score, weighted by its inverse."""
+    """The best models by score but for the naive ones, weighted by its inverse."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("score", "model"))
-    chosen = errors.withColumn("_r", rank).where(F.col("_r") <= best).select(*keys, "model", (1 / F.greatest(F.col("score"), F.lit(1e-6))).alias("w"))
+    chosen = errors.where(~F.col("model").isin(*BASELINES)).withColumn("_r", rank).where(F.col("_r") <= best).select(*keys, "model", (1 / F.greatest(F.col("score"), F.lit(1e-6))).alias("w"))
     return forecasts.join(chosen, [*keys, "model"]).groupBy(*keys, "step").agg((F.sum(F.col("w") * F.col("yhat")) / F.sum("w")).alias("yhat"), F.count("*").alias("members"))
 
 
@@ -78,7 +122,7 @@ def errors(y: str = "y", yhat: str = "yhat") -> dict[str, Column]:
         "mape": F.avg(F.abs(base - f) / F.abs(base)) * 100,
         "smape": F.avg(2 * F.abs(f - a) / F.when(both == 0, 1.0).otherwise(both)) * 100,
         "wape": F.coalesce(ratio(F.sum(F.abs(a - f)) * 100, F.sum(F.abs(a))), F.lit(0.0)),
-        "mpe": F.avg((base - f) / base) * 100,
+        "mpe": F.avg((f - base) / base) * 100,
         "bias": F.avg(f - a),
         "n": F.count("*"),
     }
@@ -113,6 +157,103 @@ def walk_forward(series: DataFrame, keys: list[str], value: str, season: int = 1
     return asked.join(past, [*keys, "_i"]).select(*keys, "fold", "model", "i", "y", F.col("_v").alias("yhat"))
 
 
+def rolling_origin(series: DataFrame, keys: list[str], value: str, horizon: int = 3, least: int = 12, season: int = 12) -> DataFrame:
+    """Predictions of the naive models from every origin that has `least` periods before it: (keys, origin, model, i, y, yhat).
+
+    An origin is tested on up to three periods. Each row finds the origins that test it, so nothing is paired beyond that.
+    """
+    test = max(1, min(horizon, 3))
+    rows = numbered(series, keys)
+    past = rows.select(*keys, F.col("i").alias("_i"), F.col(value).alias("_v"))
+    low, high = F.greatest(F.lit(least), F.col("i") - test + 1), F.least(F.col("i"), F.col("n") - test)
+    asked = rows.where(high >= low).select(*keys, "i", F.col(value).alias("y"), F.explode(F.sequence(low, high)).alias("origin"))
+    back = F.when(F.col("origin") >= season, F.col("origin") - season + F.col("i") - F.col("origin")).otherwise(F.col("origin") - 1)
+    models = F.array(F.struct(F.lit("naive_last").alias("model"), (F.col("origin") - 1).cast("long").alias("_i")), F.struct(F.lit("seasonal_naive").alias("model"), back.cast("long").alias("_i")))
+    return asked.select(*keys, "origin", "i", "y", F.inline(models)).join(past, [*keys, "_i"]).select(*keys, "origin", "model", "i", "y", F.col("_v").alias("yhat"))
+
+
+def single_holdout(series: DataFrame, keys: list[str], value: str, horizon: int, season: int = 12) -> DataFrame:
+    """One test on the last `horizon` periods: the naive models repeat the last value before, or the one a season before it."""
+    rows = numbered(series, keys).withColumn("test", F.greatest(F.lit(1), F.least(F.lit(horizon), F.col("n") - 1)))
+    past = rows.select(*keys, F.col("i").alias("_i"), F.col(value).alias("_v"))
+    train = F.col("n") - F.col("test")
+    models = F.array(F.struct(F.lit("naive_last").alias("model"), (train - 1).cast("long").alias("_i")), F.struct(F.lit("seasonal_naive").alias("model"), F.when(train >= season, train - season).otherwise(train - 1).cast("long").alias("_i")))
+    asked = rows.where(F.col("i") >= train).select(*keys, "i", F.col(value).alias("y"), F.inline(models))
+    return asked.join(past, [*keys, "_i"]).select(*keys, "model", "i", "y", F.col("_v").alias("yhat"))
+
+
+def walk_forward_real(series: DataFrame, keys: list[str], value: str, real: str, horizon: int = 6, season: int = 12) -> DataFrame:
+    """Walk-forward predictions over folds of `horizon` periods, three at most: (keys, fold, model, i, y, yhat).
+
+    Only periods with real records (column `real` above 0) are tested, all of a fold that has none; folds whose actual
+    values sum to nothing are left out, and so are series too short for two folds.
+    """
+    rows = numbered(series, keys).withColumn("test", F.greatest(F.lit(1), F.least(F.lit(horizon), F.col("n") - 1)))
+    rows = rows.withColumn("folds", F.least(F.lit(3), F.floor((F.col("n") - 1) / F.col("test"))).cast("int")).where("folds >= 2")
+    past = rows.select(*keys, F.col("i").alias("_i"), F.col(value).alias("_v"))
+    fold = (F.floor((F.col("i") - (F.col("n") - F.col("folds") * F.col("test"))) / F.col("test")) + 1).cast("int")
+    tests = rows.withColumn("fold", fold).where("fold >= 1").withColumn("origin", (F.col("n") - (F.col("folds") - F.col("fold") + 1) * F.col("test")).cast("long"))
+    per = W.partitionBy(*keys, "fold")
+    tests = tests.withColumns({"_some": F.max(F.col(real) > 0).over(per)}).where((F.col(real) > 0) | ~F.col("_some"))
+    tests = tests.withColumn("_sum", F.sum(F.abs(F.col(value))).over(per)).where(F.col("_sum") >= 1e-9)
+    back = F.when(F.col("origin") >= season, F.col("origin") - season + (F.col("i") - F.col("origin")) % season).otherwise(F.col("origin") - 1)
+    models = F.array(F.struct(F.lit("naive_last").alias("model"), (F.col("origin") - 1).cast("long").alias("_i")), F.struct(F.lit("seasonal_naive").alias("model"), back.cast("long").alias("_i")))
+    asked = tests.select(*keys, "fold", "i", F.col(value).alias("y"), F.inline(models))
+    return asked.join(past, [*keys, "_i"]).select(*keys, "fold", "model", "i", "y", F.col("_v").alias("yhat"))
+
+
+def ranked(scores: DataFrame, keys: list[str], asked: tuple[str, ...] = ()) -> DataFrame:
+    """Models by composite score, the best first; models that were asked for and have no score come without a rank."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("composite", "model"))
+    out = scores.withColumn("rank", rank)
+    if not asked:
+        return out
+    every = scores.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, asked))).alias("model"))
+    return out.join(every, [*keys, "model"], "full").withColumn("status", F.when(F.col("rank").isNull(), "failed").otherwise("completed"))
+
+
+def backtest_report(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each model the errors of every fold with its actual and predicted values in order, and the errors over all folds."""
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c])
+    folds = pairs.groupBy(*keys, "model", "fold").agg(ordered("y").alias("actuals"), ordered("yhat").alias("predicted"), *[c.alias(n) for n, c in errors().items()])
+    per = folds.groupBy(*keys, "model").agg(F.array_sort(F.collect_list(F.struct("fold", "actuals", "predicted", "mae", "rmse", "mape", "smape", "bias"))).alias("folds"))
+    return per.join(measured(pairs, [*keys, "model"]), [*keys, "model"])
+
+
+def importances(rows: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
+    """The k most important features (feature, importance) of each key, of those above 0, with their share of all in percent."""
+    total = F.sum("importance").over(W.partitionBy(*keys))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("importance"), "feature"))
+    return rows.where(F.col("importance") > 0).withColumns({"normalized_importance": F.col("importance") * 100 / total, "rank": rank}).where(F.col("rank") <= k)
+
+
+def what_if(forecast: DataFrame, text: Column, value: str = "yhat") -> DataFrame:
+    """The forecast moved by the percentage in a text; without one a promotion means 20 % more, a rupture 25 % less."""
+    t = F.lower(text)
+    told = F.coalesce(percent_in(t), F.lit(0.0))
+    shift = F.when(told != 0, told).when(F.contains(t, F.lit("promo")), 0.20).when(F.contains(t, F.lit("rupture")) | F.contains(t, F.lit("stockout")), -0.25).otherwise(0.0)
+    return forecast.withColumn("shift_pct", shift * 100).withColumn("scenario", F.col(value) * (1 + shift))
+
+
+def is_flat(forecast: DataFrame, keys: list[str], value: str = "yhat") -> DataFrame:
+    """Whether a forecast hardly moves: within 3 % of its mean (or 1), or on two values at most (to two digits)."""
+    span = F.max(value) - F.min(value)
+    flat = span <= F.greatest(F.lit(1.0), F.abs(F.avg(value)) * 0.03)
+    return forecast.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), flat.alias("flat"), (flat | (F.countDistinct(F.round(value, 2)) <= 2)).alias("stable"))
+
+
+def steady_band(forecast: DataFrame, keys: list[str], z: float = 1.28) -> DataFrame:
+    """A band of one width for a stock forecast, from the deviation of the forecast values (1 at least)."""
+    wide = F.lit(z) * F.greatest(F.lit(1.0), F.stddev_pop("yhat").over(W.partitionBy(*keys)))
+    return forecast.withColumns({"lower": F.greatest(F.lit(0.0), F.col("yhat") - wide), "upper": F.col("yhat") + wide})
+
+
+def ensemble_band(forecast: DataFrame, sigmas: DataFrame, keys: list[str], z: float = 1.28) -> DataFrame:
+    """The band of an ensemble: the spread of its members at the step, and what grows with the root of the step."""
+    wide = F.lit(z) * (F.col("spread") + F.col("sigma") * F.sqrt(F.col("step").cast("double")))
+    return forecast.join(sigmas, keys).withColumns({"lower": F.greatest(F.lit(0.0), F.col("yhat") - wide), "upper": F.col("yhat") + wide})
+
+
 def recency_weighted(by_fold: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Mean over folds with weights rising evenly from 0.5 to 1.5; best and worst fold."""
     w = W.partitionBy(*keys)
@@ -129,11 +270,11 @@ def near_tie_choice(scores: DataFrame, keys: list[str], within: float = 0.10) ->
 
 
 def gap_to_baseline(scores: DataFrame, keys: list[str], model: str, baseline: str) -> DataFrame:
-    """How much better the model is than the baseline in percent, and a grade."""
+    """How much better the model is than the baseline in percent, and the strength of the signal."""
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("score")))
     rows = scores.groupBy(*keys).agg(pick(model).alias("target"), pick(baseline).alias("base"))
     gap = ratio((F.col("base") - F.col("target")) * 100, F.col("base"))
-    return rows.withColumn("gap_pct", gap).withColumn("grade", chain([(F.col("gap_pct") >= 10, "strong"), (F.col("gap_pct") >= 5, "moderate"), (F.col("gap_pct") >= 2, "weak")], "none"))
+    return rows.withColumn("gap_pct", gap).withColumn("grade", chain([(F.col("gap_pct") < 2, "WEAK"), (F.col("gap_pct") < 5, "MODERATE"), (F.col("gap_pct") < 10, "GOOD"), (F.col("gap_pct") >= 10, "STRONG")]))
 
 
 def linear_trend(series: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -176,15 +317,17 @@ def holt(y: np.ndarray, steps: int) -> np.ndarray:
 
 
 def recursive_regression(y: np.ndarray, first_month: int, steps: int) -> np.ndarray:
-    """Ridge regression on trend, season and lags 1, 2, 3 and 12, fitted once and fed its own predictions, not below 0."""
+    """Ridge regression on trend, season and lags 1, 2, 3 and 12, fitted anew for each step to what it has predicted so far, not below 0."""
     y, n = list(map(float, y)), len(y)
     lag = [k for k in (1, 2, 3, 12) if k < n / 2]
     row = lambda i: [1.0, i, np.sin(2 * np.pi * (first_month + i) / 12), np.cos(2 * np.pi * (first_month + i) / 12), *(y[i - k] for k in lag)]
     start = max(lag, default=0)
-    x = np.array([row(i) for i in range(start, n)])
-    w = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ np.array(y[start:]))
+    x = [row(i) for i in range(start, n)]
     for i in range(n, n + steps):
-        y.append(max(0.0, float(np.dot(row(i), w))))
+        a = np.array(x)
+        w = np.linalg.solve(a.T @ a + 1e-3 * np.eye(a.shape[1]), a.T @ np.array(y[start:]))
+        x.append(row(i))
+        y.append(max(0.0, float(np.dot(x[-1], w))))
     return np.array(y[n:])
 
 
@@ -272,40 +415,46 @@ FITTED = {
 }
 
 
+def _each(series: DataFrame, keys: list[str], value: str, models: tuple[str, ...], more: Column | None = None) -> DataFrame:
+    """Every series once for each model (and each of `more`), which are part of its group, so that Spark spreads the fits."""
+    rows = series.select(*keys, "date", F.col(value).cast("double").alias("y")).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return rows if more is None else rows.withColumn("fold", F.explode(more))
+
+
 def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
-    """Forecasts of the models that have to be fitted, series by series: (keys, model, step, yhat)."""
+    """Forecasts of the models that have to be fitted, a series and model a group: (keys, model, step, yhat)."""
     kinds = {f.name: f.dataType for f in series.schema.fields}
     schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["model string, step int, yhat double"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        y, month = pdf[value].to_numpy(float), pd.Timestamp(pdf["date"].iloc[0]).month
-        parts = [pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "model": m, "step": range(1, steps + 1), "yhat": FITTED[m](y, month, steps)}) for m in models]
-        return pd.concat(parts)
+        first = pdf.iloc[0]
+        yhat = FITTED[first["model"]](pdf["y"].to_numpy(float), pd.Timestamp(first["date"]).month, steps)
+        return pd.DataFrame({**{k: first[k] for k in keys}, "model": first["model"], "step": range(1, steps + 1), "yhat": yhat})
 
-    return series.select(*keys, "date", value).groupBy(*keys).applyInPandas(one, schema)
+    return _each(series, keys, value, models).groupBy(*keys, "model").applyInPandas(one, schema)
 
 
 def backtested(series: DataFrame, keys: list[str], value: str, folds: int = 3, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
     """Walk-forward predictions of the fitted models: (keys, fold, model, i, y, yhat), folds dealt as in walk_forward.
 
-    Models that fail on a fold (a history too short for them) have no rows there.
+    A series, model and fold is a group. Models that fail on a fold (a history too short for them) have no rows there.
     """
     kinds = {f.name: f.dataType for f in series.schema.fields}
     schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["fold int, model string, i int, y double, yhat double"])
+    none = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        y, month, n = pdf[value].to_numpy(float), pd.Timestamp(pdf["date"].iloc[0]).month, len(pdf)
-        test, parts = n // (folds + 1), []
-        for fold in range(1, folds + 1) if test else ():
-            origin = n - (folds - fold + 1) * test
-            for m in models:
-                try:
-                    yhat = FITTED[m](y[:origin], month, test)
-                except (ValueError, IndexError, np.linalg.LinAlgError):
-                    continue
-                parts.append(pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "fold": fold, "model": m, "i": range(origin, origin + test), "y": y[origin : origin + test], "yhat": yhat}))
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    return series.select(*keys, "date", value).groupBy(*keys).applyInPandas(one, schema)
+        first, y, n = pdf.iloc[0], pdf["y"].to_numpy(float), len(pdf)
+        test, fold = n // (folds + 1), int(first["fold"])
+        origin = n - (folds - fold + 1) * test
+        try:
+            if not test:
+                return none
+            yhat = FITTED[first["model"]](y[:origin], pd.Timestamp(first["date"]).month, test)
+        except (ValueError, IndexError, np.linalg.LinAlgError):
+            return none
+        return pd.DataFrame({**{k: first[k] for k in keys}, "fold": fold, "model": first["model"], "i": range(origin, origin + test), "y": y[origin : origin + test], "yhat": yhat})
+
+    return _each(series, keys, value, models, F.sequence(F.lit(1), F.lit(folds))).groupBy(*keys, "model", "fold").applyInPandas(one, schema)

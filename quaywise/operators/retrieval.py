@@ -4,61 +4,137 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.functions.scalar import chain, cosine, ratio, tokens
+from quaywise.functions.scalar import all_of, chain, ratio, tokens
 
 # Words of a chunk and of its overlap with the next, the constant of rank fusion, weights, intents and their words.
 CHUNK, OVERLAP, RRF_K = 320, 64, 60
 DENSE, LEXICAL, OVERLAP_WEIGHT = 0.60, 0.40, 0.20
-INTENTS = {"forecast": ("forecast", "predict", "trend"), "stock": ("stock", "inventory", "order"), "anomaly": ("anomaly", "error", "drop"), "promotion": ("promo", "discount", "sale")}
+INTENTS = {
+    "stock": ("stock", "rupture", "inventaire", "disponib", "approvisionnement", "livraison", "réappro", "reappro", "entrepôt", "entrepot"),
+    "vente": ("vente", "ventes", "vendre", "commercial", "chiffre", "revenu", "ca ", "c.a.", "souscription", "activation", "abonnement"),
+    "prevision": ("prévision", "prevision", "forecast", "tendance", "prédiction", "prediction", "horizon", "futur", "projection"),
+    "procedure": ("procédure", "procedure", "comment", "étapes", "etapes", "traitement", "processus", "comment faire", "démarche"),
+}
+#: Below this score of its best document a question isn't answered. Scores of fused ranks don't reach it, those of dense search do.
+LEAST_SCORE, FUSED_K = 0.40, 20
+#: Documents of these services are found for every service.
+ANY_SERVICE = ("MULTI", "UNKNOWN")
 
 
 def is_heading(block: str) -> bool:
-    words = block.split()
-    upper = block.isupper() and len(block) >= 4
-    return 0 < len(words) <= 14 and (block.startswith("#") or bool(re.match(r"\d+(\.\d+)*[.)]?\s", block)) or block.endswith(":") or upper)
+    letters = re.sub("[^A-Za-z]", "", block)
+    return 0 < len(block.split()) <= 14 and (block.startswith("#") or bool(re.match(r"\d+(\.\d+)*[).]?\s+", block)) or block.endswith(":") or letters.isupper() and len(letters) >= 4)
 
 
 def blocks_of(text: str) -> list[str]:
-    """Paragraphs with white space collapsed; a heading goes with the paragraph behind it."""
-    out, held = [], ""
-    for block in (" ".join(b.split()) for b in re.split(r"\n\s*\n", text or "")):
+    """Paragraphs with white space collapsed; a heading goes with the paragraph behind it, the last of several does."""
+    out, held = [], None
+    for block in (" ".join(b.split()) for b in re.split(r"\n\s*\n+", (text or "").replace("\r\n", "\n").replace("\r", "\n"))):
         if not block:
             continue
         if is_heading(block):
-            held = f"{held} {block}".strip()
+            out += [held] * (held is not None)
+            held = block
         else:
-            out.append(f"{held} {block}".strip())
-            held = ""
-    return out + [held] * bool(held)
+            out.append(block if held is None else f"{held}\n{block}")
+            held = None
+    return out + [held] * (held is not None)
+
+
+def chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """Chunks of a text of about `size` words: whole blocks as long as they fit, and pieces of longer ones; each chunk begins
+    with the last words of the one before. Repeated chunks (upper and lower case aside) stay once."""
+    size = max(80, size)
+    overlap = max(0, min(overlap, size // 2))
+    chunks: list[str] = []
+    parts: list[str] = []
+    words: list[str] = []
+
+    def flush() -> None:
+        nonlocal parts, words
+        chunks.append("\n\n".join(parts))
+        words = words[-overlap:] if overlap else []
+        parts = [" ".join(words)] if words else []
+
+    for block in blocks_of(text):
+        every = block.split()
+        for at in range(0, len(every), size):
+            piece = every[at : at + size]
+            if words and len(words) + len(piece) > size:
+                flush()
+            parts.append(" ".join(piece))
+            words += piece
+            if len(words) >= size:
+                flush()
+    if parts:
+        chunks.append("\n\n".join(parts))
+    first: dict[str, str] = {}
+    for c in chunks:
+        first.setdefault(c.strip().lower(), c)
+    first.pop("", None)
+    return list(first.values())
 
 
 def chunked(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, source, chunk_index, chunk) of every document: runs of `size` words that overlap; a document's repeated
-    chunks (upper and lower case aside) stay once."""
-    step = size - min(overlap, size // 2)
+    """(doc_id, source, chunk_index, chunk) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
-                words = " ".join(blocks_of(text)).split()
-                seen = set()
-                for at in range(0, max(len(words) - (size - step), 1), step):
-                    chunk = " ".join(words[at : at + size])
-                    if chunk and chunk.lower() not in seen:
-                        out.append((doc_id, source, len(seen), chunk))
-                        seen.add(chunk.lower())
+            out = [(d, s, i, c) for d, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True) for i, c in enumerate(chunks_of(t, size, overlap))]
             yield pd.DataFrame(out, columns=["doc_id", "source", "chunk_index", "chunk"])
 
     return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, chunk_index int, chunk string")
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """source, doc_type and text of the files of a folder: text files whole, of others (and of what can't be decoded) no text."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("source"), kind.alias("doc_type"), F.when(kind.isin("txt", "md", "csv", "log"), F.try_validate_utf8(F.col("content").cast("string"))).otherwise("").alias("text"))
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A file of one JSON object a line; blank lines are skipped."""
+    return spark.read.json(path)
+
+
+def ingested(store: DataFrame, docs: DataFrame) -> DataFrame:
+    """The store of chunks (source, chunk_index, service, chunk, doc_type) with those of new documents (doc_id, source, text,
+    service, doc_type): of one source, index and service the new chunk stays. Documents without text add nothing."""
+    new = chunked(docs).join(docs.select("doc_id", F.upper(F.coalesce("service", F.lit("MULTI"))).alias("service"), "doc_type"), "doc_id").select("source", "chunk_index", "service", "chunk", "doc_type")
+    new = new.dropDuplicates(["source", "chunk_index", "service"])
+    return store.join(new, ["source", "chunk_index", "service"], "left_anti").select(new.columns).unionByName(new)
+
+
+def first_of_texts(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """Of rows of one text the one with the smallest key."""
+    return chunks.withColumn("_f", F.min(key).over(W.partitionBy(F.md5(text)))).where(F.col(key) == F.col("_f")).drop("_f")
+
+
+def described(vectors: DataFrame, column: str, metric: str = "COSINE") -> DataFrame:
+    """The column of vectors, its dimension (least and most), metric and rows of a table."""
+    return vectors.agg(F.lit(column).alias("vector_field"), F.min(F.size(column)).alias("least_dim"), F.max(F.size(column)).alias("most_dim"), F.lit(metric).alias("metric_type"), F.count("*").alias("row_count"))
+
+
+def of_service(service: str | None, column: str = "service") -> Column:
+    """Rows of a service, and those that are for every one; all rows if no service is given."""
+    return F.lit(True) if not service else F.col(column).isin(service.upper(), *ANY_SERVICE)
+
+
+def meets(doc_type: str | None = None, service: str | None = None, region: str | None = None, expression: str | None = None) -> Column:
+    """All of the given equalities, and a condition in SQL."""
+    same = lambda c, v: None if not v else F.col(c) == v.strip()
+    return all_of([same("doc_type", doc_type), same("service", service), same("region", region), F.expr(expression) if expression and expression.strip() else None])
+
+
 def sliding_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Runs of words without regard to blocks, in column functions alone."""
     step, words = size - overlap, F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
@@ -73,42 +149,61 @@ def duplicate_texts(docs: DataFrame) -> DataFrame:
     return same.where("copies > 1")
 
 
-def measure(metric: str, a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    far = F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return {"cosine": cosine(a, b), "ip": dot, "l2": -F.sqrt(far)}[metric]
-
-
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """Exact nearest vectors of a stated set of queries (query_id, query), in blocks of about `block` queries: a block
-    is one array that every row is scored against, so vectors stay where they are, and only the best k a query of what
-    each task sees are shuffled on."""
-    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+def _similarities(metric: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Similarity of each of the queries (rows) with each of the vectors; NaN where the cosine has no length to go by."""
+    if metric == "l2":
+        return np.stack([-np.sqrt(((v - x) ** 2).sum(axis=1)) for x in q])
+    out = q @ v.T
+    if metric == "ip":
+        return out
+    length = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+    return np.divide(out, length, out=np.full_like(out, np.nan), where=length > 0)
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 8192) -> DataFrame:
+    """Exact nearest vectors of a stated set of queries (query_id, query): every block of vectors meets every block of queries
+    in a group of its own, as a product of two matrices, and the best k a query and block are ranked together.
+
+    Blocks hold about `block` rows, whatever the sizes of the tables. Vectors of another dimension than the query's are an
+    error; ties are ordered by id.
+    """
+    if metric not in ("cosine", "ip", "l2") or not 1 <= k <= 100:
+        raise ValueError("the metric is cosine, ip or l2, and k lies between 1 and 100")
+    number = lambda t: t.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int"))
+    counts = {"_nv": number(vectors).scalar(), "_nq": number(queries).scalar()}
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumns(counts).withColumn("vb", deal("id", "_nv")).withColumn("qb", every("_nq")).drop("_nv", "_nq")
+    right = queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")).withColumns(counts).withColumn("qb", deal("id", "_nq")).withColumn("vb", every("_nv")).drop("_nv", "_nq")
+
+    def best(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if vs.empty or qs.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        vs = vs.sort_values("id")
+        v, q = np.stack(vs["v"]), np.stack(qs["v"])
+        sims = _similarities(metric, v, q)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(sims, order, axis=1)
+        out = pd.DataFrame({"query_id": np.repeat(qs["id"].to_numpy(), order.shape[1]), "vec_id": vs["id"].to_numpy()[order].reshape(-1), "similarity": near.reshape(-1)})
+        return out[out["similarity"].notna()]
+
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(best, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    blocks, found = max(1, -(-queries.count() // block)), None
-    dealt = queries.select("query_id", doubles("query").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-    for b in range(blocks):
-        asked = dealt.where(F.col("_b") == b).agg(F.collect_list(F.struct("query_id", "query")))
-        rows = vectors.select("vec_id", doubles("embedding").alias("_v")).withColumn("_q", asked.scalar())
-        rows = rows.select("vec_id", "_v", F.inline("_q")).select("query_id", "vec_id", measure(metric, F.col("_v"), F.col("query")).alias("similarity")).where(F.col("similarity").isNotNull())
-        best = rows.withColumn("rank", rank).where(F.col("rank") <= k)  # the planner limits the rank before the shuffle, too
-        found = best if found is None else found.unionByName(best)
-    return found
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of every document for each query (query_id, query_text)."""
+    """BM25 of every document for each query (query_id, query_text).
+
+    A document's length is the number of its words; of its words only those that some query has are counted, next to the
+    scan, as the words of the queries are few and the planner broadcasts them if their size allows it.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    terms = term_counts(docs)
-    length = terms.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = length.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean")))
-    hits = terms.join(asked.select("term").distinct(), "term")
+    words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).withColumn("len", F.size("_t"))
+    stats = words.where("len > 0").agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean")))
+    hits = words.select("doc_id", "len", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(length, "doc_id").join(asked, "term").withColumn("_s", stats.scalar()).select("*", "_s.n", "_s.mean")
+    rows = hits.join(df, "term").join(asked, "term").withColumn("_s", stats.scalar()).select("*", "_s.n", "_s.mean")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
@@ -116,6 +211,25 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def hybrid(dense: DataFrame, lexical: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k best documents of each query with the way they were found: hybrid where both lists (query_id, doc_id, rank,
+    similarity or score) have something for the query, else the one that has, by its own score.
+
+    Fused ranks are cut to the first FUSED_K; then the share of the query's words that a document (doc_id, text) has is
+    added. Ties are ordered by id.
+    """
+    first = lambda rows, c: F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(c), "doc_id"))
+    both = fused(dense, lexical).join(dense.select("query_id", "doc_id", "similarity"), ["query_id", "doc_id"], "left").join(lexical.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
+    per = W.partitionBy("query_id")
+    both = both.withColumns({"_d": F.count("dense_rank").over(per), "_x": F.count("lexical_rank").over(per)})
+    both = both.withColumn("mode", chain([((F.col("_d") > 0) & (F.col("_x") > 0), "hybrid"), (F.col("_d") > 0, "dense_only")], "lexical_only"))
+    both = both.withColumn("fused", F.round(chain([(F.col("mode") == "hybrid", F.col("fused")), (F.col("mode") == "dense_only", F.col("similarity"))], F.col("score")), 6))
+    both = both.withColumn("_r", first(both, "fused")).where(F.col("_r") <= FUSED_K)
+    rows = both.join(queries, "query_id", "left").join(texts, "doc_id", "left")
+    out = overlap_reranked(rows, "query_text", "text").withColumn("final", F.round("final", 6))
+    return out.withColumn("rank", first(out, "final")).where(F.col("rank") <= k).select("query_id", "doc_id", "mode", "overlap", "final", "rank")
+
+
 def fused(dense: DataFrame, lexical: DataFrame, w_dense: float = DENSE, w_lexical: float = LEXICAL) -> DataFrame:
     """Weighted reciprocal ranks of both lists (query_id, doc_id, rank)."""
     d = dense.select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
@@ -145,6 +259,16 @@ def fetched(vectors: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def intent(text: Column) -> Column:
+    """The first kind of question one of whose words the text has."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda words: F.rlike(t, F.lit("|".join(words)))
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
     return chain([(has(words), name) for name, words in INTENTS.items()], "general")
+
+
+def context(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each query its documents (query_id, doc_id, rank) as one text in order of rank, and their sources, each once."""
+    rows = found.join(texts, "doc_id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "source", "text")))
+    return rows.groupBy("query_id").agg(ordered.alias("o")).select(
+        "query_id", F.array_join(F.transform("o", lambda x: F.concat(F.lit("[SOURCE: "), x["source"], F.lit("] "), x["text"])), "\n\n").alias("context"), F.array_distinct(F.transform("o", lambda x: x["source"])).alias("sources")
+    )

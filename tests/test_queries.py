@@ -6,7 +6,7 @@ import math
 
 import duckdb
 import pytest
-from quaywise.plans import queries as demand
+from quaywise.plans import catalogue as demand
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
