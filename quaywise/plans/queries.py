@@ -1095,15 +1095,14 @@ SCENARIOS = (("mild", 10.0, 0.20), ("usual", 20.0, 0.25), ("strong", 45.0, 0.35)
 @query(
     f"""WITH {DAILY}, sc AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {u}::DOUBLE, {p}::DOUBLE)" for n, u, p in SCENARIOS)}) t(scenario, u, p)),
 f AS (SELECT scenario, k, y, y * CASE WHEN date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' THEN 1 + u / 100 WHEN date > DATE '2024-01-14' AND date <= DATE '2024-01-28' THEN greatest(0.5, 1 - u / 100 * p) ELSE 1.0 END AS w FROM daily, sc)
-SELECT scenario, k, floor(sum(y) * 1e4 + 0.5) / 1e4 AS base, floor(sum(w) * 1e4 + 0.5) / 1e4 AS with_promo FROM f GROUP BY 1, 2"""
+SELECT scenario, k, {r("sum(y)")} AS base, {r("sum(w)")} AS with_promo FROM f GROUP BY 1, 2"""
 )
 def scenario_compare(spark, d):
     days, out = daily(spark, d), None
     for name, uplift, dip in SCENARIOS:
         rows = in_january(days, uplift, dip).withColumn("scenario", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    four = lambda c: F.floor(F.sum(c) * 1e4 + 0.5) / 1e4
-    return out.groupBy("scenario", "k").agg(four("y").alias("base"), four("with_promo").alias("with_promo"))
+    return rounded(out.groupBy("scenario", "k").agg(F.sum("y").alias("base"), F.sum("with_promo").alias("with_promo")), "base", "with_promo")
 
 
 @query(

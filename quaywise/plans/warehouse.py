@@ -114,23 +114,28 @@ def dense_sales(spark, d):
 
 OVER = "OVER (PARTITION BY service_code ORDER BY date{})"
 LAGS = ", ".join(f"coalesce(lag(nb_ventes, {n}) {OVER.format('')}, 0) AS sales_lag_{n}" for n in (1, 2, 3, 12))
-ROLLS = ", ".join(f"{r(f'avg({c}) {OVER.format(f' ROWS {n - 1} PRECEDING')}')} AS {a}_{n}" for c, a in (("nb_ventes", "sales_roll"), ("prix_moyen", "price_roll")) for n in (3, 6, 12))
+ROLLS = ", ".join(f"{r(f'avg({c}) {OVER.format(f' ROWS {n - 1} PRECEDING')} + 1e-9')} AS {a}_{n}" for c, a in (("nb_ventes", "sales_roll"), ("prix_moyen", "price_roll")) for n in (3, 6, 12))
 ROLLED = [f"{a}_{n}" for a in ("sales_roll", "price_roll") for n in (3, 6, 12)]
 
 
+def off_edge(df, *columns):
+    """Means that may lie half way between two roundings, moved off there as in the SQL, which adds in another order."""
+    return df.withColumns({c: F.col(c) + 1e-9 for c in columns})
+
+
 @query(
     f"""WITH {SERIES} SELECT service_code, date, nb_ventes, CAST(row_number() {OVER.format('')} - 1 AS INT) AS trend_index, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, {r("sin(month(date) * (2 * pi() / 12))")} AS month_sin, {r("cos(month(date) * (2 * pi() / 12))")} AS month_cos,
  CAST(nb_ventes_promo > 0 AS INT) AS promo_active, {r("CASE WHEN nb_ventes > 0 THEN nb_ventes_promo / nb_ventes ELSE 0.0 END")} AS promo_rate, {r("prix_moyen")} AS prix_moyen, {r("nb_dealers_actifs")} AS nb_dealers_actifs, {LAGS}, {ROLLS}, CAST(service_code = 'BUILDING' AS INT) AS "service_BUILDING" FROM dense"""
 )
 def monthly_features(spark, d):
     out = series.sales_features(dense(spark, d), ["service_code"], services=("BUILDING",))
-    return rounded(out, "month_sin", "month_cos", "promo_rate", "prix_moyen", "nb_dealers_actifs", *ROLLED)
+    return rounded(off_edge(out, *ROLLED), "month_sin", "month_cos", "promo_rate", "prix_moyen", "nb_dealers_actifs", *ROLLED)
 
 
 @query(f"WITH {SERIES}, f AS (SELECT service_code, date, nb_ventes, CAST(row_number() {OVER.format('')} - 1 AS INT) AS trend_index, {r('nb_dealers_actifs')} AS nb_dealers_actifs, {LAGS}, {ROLLS} FROM dense) SELECT * EXCLUDE (price_roll_3, price_roll_6, price_roll_12) FROM f")
 def features_without_groups(spark, d):
     out = series.sales_features(dense(spark, d), ["service_code"], promotions=False, price=False, calendar_too=False)
-    return rounded(out, "nb_dealers_actifs", "sales_roll_3", "sales_roll_6", "sales_roll_12")
+    return rounded(off_edge(out, *ROLLED[:3]), "nb_dealers_actifs", *ROLLED[:3])
 
 
 EVENT_DAYS = """ev AS (SELECT event_type AS service_code, CAST(ts AS DATE) AS date, count(*)::DOUBLE AS nb_ventes, count(DISTINCT user_id)::DOUBLE AS nb_dealers_actifs, count(*) FILTER (user_id % 7 = 0)::DOUBLE AS nb_ventes_promo, avg(value) AS prix_moyen FROM events GROUP BY 1, 2)"""
