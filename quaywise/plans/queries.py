@@ -848,7 +848,25 @@ def sliding_chunks(spark, d):
     return retrieval.sliding_chunks(read(spark, d, "documents"))
 
 
-@query()
+#: Chunks state by state: a row for each piece of a block, with the words and parts held behind it and the chunks that it ends.
+CHUNKS = r"""WITH RECURSIVE raw AS (SELECT doc_id, source, regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n+') AS bs FROM documents),
+cut AS (SELECT doc_id, source, generate_subscripts(bs, 1) AS i, trim(regexp_replace(unnest(bs), '\s+', ' ', 'g')) AS b FROM raw),
+h AS (SELECT *, len(regexp_split_to_array(b, ' ')) <= 14 AND (b LIKE '#%' OR regexp_matches(b, '^\d+(\.\d+)*[).]?\s+') OR b LIKE '%:'
+ OR (regexp_replace(b, '[^A-Za-z]', '', 'g') = upper(regexp_replace(b, '[^A-Za-z]', '', 'g')) AND length(regexp_replace(b, '[^A-Za-z]', '', 'g')) >= 4)) AS head FROM cut WHERE b <> ''),
+m AS (SELECT *, coalesce(lag(head) OVER w, false) AS after_head, lag(b) OVER w AS before, coalesce(lead(head) OVER w, true) AS alone FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+blocks AS (SELECT doc_id, source, i, regexp_split_to_array(CASE WHEN NOT head AND after_head THEN before || ' ' || b ELSE b END, ' ') AS ws FROM m WHERE NOT head OR alone),
+pieces AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i, st) AS n, ws[st + 1:st + 320] AS w FROM (SELECT *, unnest(range(0, len(ws), 320)) AS st FROM blocks)),
+s AS (SELECT doc_id, source, 0::BIGINT AS n, []::VARCHAR[] AS words, '' AS parts, NULL::VARCHAR AS ended, NULL::VARCHAR AS ended_too FROM pieces WHERE n = 1
+ UNION ALL SELECT doc_id, source, n, CASE WHEN len(w2) >= 320 THEN w2[len(w2) - 63:] ELSE w2 END, CASE WHEN len(w2) >= 320 THEN array_to_string(w2[len(w2) - 63:], ' ') ELSE p2 END, ended, CASE WHEN len(w2) >= 320 THEN p2 END
+ FROM (SELECT doc_id, source, n, ended, list_concat(w1, w) AS w2, CASE WHEN p1 = '' THEN '' ELSE p1 || chr(10) || chr(10) END || array_to_string(w, ' ') AS p2
+ FROM (SELECT s.doc_id, s.source, p.n, p.w, CASE WHEN spill THEN words[greatest(1, len(words) - 63):] ELSE words END AS w1, CASE WHEN spill THEN array_to_string(words[greatest(1, len(words) - 63):], ' ') ELSE parts END AS p1, CASE WHEN spill THEN parts END AS ended
+ FROM (SELECT s.*, p.n AS pn, len(words) > 0 AND len(words) + len(p.w) > 320 AS spill FROM s JOIN pieces p ON p.doc_id = s.doc_id AND p.n = s.n + 1) s JOIN pieces p ON p.doc_id = s.doc_id AND p.n = s.pn))),
+chunks AS (SELECT doc_id, source, n, 1 AS o, ended AS chunk FROM s UNION ALL SELECT doc_id, source, n, 2, ended_too FROM s UNION ALL SELECT doc_id, source, n, 3, parts FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)),
+once AS (SELECT * FROM chunks WHERE chunk <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(chunk) ORDER BY n, o) = 1)
+SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, o) - 1 AS INT) AS chunk_index, chunk FROM once"""
+
+
+@query(CHUNKS)
 def chunk_documents(spark, d):
     return retrieval.chunked(read(spark, d, "documents"))
 
@@ -984,31 +1002,26 @@ def fuzzy_members(spark, d):
     return rounded(payloads.nearest(asked, "asked", nation.select(F.col("n_name").alias("matched")), "matched"), "similarity")
 
 
-def _asof_price(rows, asked_for):
-    """The newest monthly price of the category for each distinct category and sale day of the rows asked for."""
+ASOF_PRICE = f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
+s AS (SELECT DISTINCT product_category, sale_date FROM sales)
+SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
+
+
+@query(ASOF_PRICE)
+def asof_price(spark, d):
+    """The newest monthly price of the category for each distinct category and sale day."""
+    rows = marts.sales(spark, d)
     price = rows.groupBy("product_category", F.trunc("sale_date", "MM").alias("date")).agg(F.avg("price").alias("price"))
-    asked = rows.where(asked_for).select("product_category", F.col("sale_date").alias("date")).distinct().withColumn("price", F.lit(None).cast("double"))
+    asked = rows.select("product_category", F.col("sale_date").alias("date")).distinct().withColumn("price", F.lit(None).cast("double"))
     both = price.withColumn("_q", F.lit(0)).unionByName(asked.withColumn("_q", F.lit(1)))
     last = F.last("price", ignorenulls=True).over(W.partitionBy("product_category").orderBy("date", "_q"))
     return rounded(both.withColumn("price", last).where("_q = 1 and price is not null").select("product_category", F.col("date").alias("sale_date"), "price"), "price")
 
 
-@query(
-    f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
-s AS (SELECT DISTINCT product_category, sale_date FROM sales WHERE day(sale_date) = 15)
-SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
-)
-def asof_price(spark, d):
-    return _asof_price(marts.sales(spark, d), F.dayofmonth("sale_date") == 15)
-
-
-@query(
-    f"""WITH {SALES}, p AS (SELECT product_category, CAST(date_trunc('month', sale_date) AS DATE) AS month, avg(price) AS price FROM sales GROUP BY 1, 2),
-s AS (SELECT DISTINCT product_category, sale_date FROM sales)
-SELECT s.product_category, s.sale_date, {r("p.price")} AS price FROM s ASOF JOIN p ON s.product_category = p.product_category AND s.sale_date >= p.month"""
-)
+@query(ASOF_PRICE)
 def asof_price_all_days(spark, d):
-    return _asof_price(marts.sales(spark, d), F.lit(True))
+    """The same; kept under the name that it had while asof_price took one day of a month."""
+    return asof_price(spark, d)
 
 
 @query(f"WITH {SALES} SELECT service_code, region_key, returnflag, count(*) AS n FROM sales GROUP BY CUBE (service_code, region_key, returnflag)")

@@ -6,6 +6,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_every_category_and_sale_day_gets_its_price(spark):
     asked = marts.sales(spark, DATA).select("product_category", "sale_date").distinct()
-    got = demand.QUERIES["asof_price_all_days"](spark, DATA)
-    assert got.count() == asked.count() > 10 * demand.QUERIES["asof_price"](spark, DATA).count()
-    assert got.join(asked, ["product_category", "sale_date"], "left_anti").count() == 0
+    for name in ("asof_price", "asof_price_all_days"):
+        got = demand.QUERIES[name](spark, DATA)
+        assert got.count() == asked.count() > 0
+        assert got.join(asked, ["product_category", "sale_date"], "left_anti").count() == 0
