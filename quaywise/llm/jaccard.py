@@ -13,9 +13,9 @@ a pair of similarity s has none in common with a chance of (1 - s^ROWS)^BANDS: 1
 
 Each candidate is verified by its exact similarity before it counts as a link. The members of a bucket (the classes that
 share a band) are first compared with its smallest one. Where that doesn't connect all the others, every two of those
-are compared as well, by the product of their incidence matrices, large buckets in parts. So a group whose members are
-all near copies of one costs a comparison a member, a loose one the square of its bucket, and no candidate that could
-join two components is left out.
+are compared as well, by the product of their incidence matrices, large buckets in parts; a part gives no more links
+than connect its members. So a group whose members are all near copies of one costs a comparison a member, a loose one
+the square of its bucket, and no candidate that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -145,6 +145,27 @@ def _linked(members: pa.Table) -> pa.Table:
     return pa.table({"a": c[a], "b": c[b]})
 
 
+def _connecting(members: pa.Table) -> pa.Table:
+    """Of the links that _linked finds, as many as connect the same roots: one less than there are members, at most."""
+    found = _linked(members)
+    root = dict(zip(*(members.column(k).to_pylist() for k in ("c", "root")), strict=True))
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    some = []
+    for i, (a, b) in enumerate(zip(*(found.column(k).to_pylist() for k in ("a", "b")), strict=True)):
+        a, b = top(root[a]), top(root[b])
+        if a != b:
+            up[a] = b
+            some.append(i)
+    return found.take(pa.array(some, pa.int64()))
+
+
 def _possible(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, with sizes na, nb) whose sizes alone allow them to be near copies."""
     return pairs.where(_alike(F.least("na", "nb").cast("long"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
@@ -183,7 +204,7 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Data
     rest = at.join(split, "key").withColumns({"parts": parts, "x": F.pmod(F.xxhash64("c"), parts)})
     rest = rest.select("key", "c", "root", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"))
     rest = rest.select("key", "c", "root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).join(sets, "c")
-    return found.union(rest.groupBy("key", "i", "j").applyInArrow(_linked, "a long, b long")).distinct()
+    return found.union(rest.groupBy("key", "i", "j").applyInArrow(_connecting, "a long, b long")).distinct()
 
 
 def representatives(docs: DataFrame) -> DataFrame:

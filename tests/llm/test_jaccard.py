@@ -81,6 +81,26 @@ def test_links_inside_a_bucket_match_all_pairs():
     assert want and set(zip(*(got.column(k).to_pylist() for k in "ab"), strict=True)) == want
 
 
+def test_fewest_links_inside_a_bucket_connect_the_same():
+    import pyarrow as pa
+
+    def parts(n, links):
+        part = list(range(n))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return {frozenset(i for i in range(n) if part[i] == p) for p in part}
+
+    rng = random.Random(4)
+    near = [sorted(rng.sample(range(40), rng.randrange(25, 40))) for _ in range(60)]
+    for sets in (near, [[1, 2, 3]] * 30, [[i] for i in range(30)], [[1]], []):
+        n = len(sets)
+        root = [i % 50 for i in range(n)]
+        table = pa.table({"c": pa.array(range(n), pa.int64()), "root": pa.array(root, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
+        every, some = ([(root[a], root[b]) for a, b in zip(*(t.column(k).to_pylist() for k in "ab"), strict=True)] for t in (jaccard._linked(table), jaccard._connecting(table)))
+        assert parts(50, some) == parts(50, every) and len(some) <= max(n - 1, 0)
+        assert len(some) == 50 - len(parts(50, every))
+
+
 def test_odd_rows(spark):
     out = jaccard.representatives(odd.docs(spark)).collect()
     assert sum(r.text in (None, "", " \t\n") for r in out) == 1
