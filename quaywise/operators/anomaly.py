@@ -156,6 +156,7 @@ def isolated(rows: DataFrame, keys: list[str], value: str, price: str, residual:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", forest_score double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")  # so that the trees don't depend on the order of a shuffle
         d = pd.to_datetime(pdf["date"])
         x = np.column_stack([pdf[value], pdf[price], d.dt.month, d.dt.dayofyear, pdf[residual]]).astype(float)
         x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
