@@ -94,10 +94,14 @@ def sigma(series: DataFrame, keys: list[str], value: str, season: int = 12) -> D
     return rows.groupBy(*keys).agg(least("_d").alias("sigma"), F.greatest(F.coalesce(F.stddev_pop("_s"), F.stddev_pop("_d"), F.lit(1.0)), F.lit(1.0)).alias("sigma_seasonal"))
 
 
-def banded(forecast: DataFrame, sigmas: DataFrame, keys: list[str], z: float = 1.28) -> DataFrame:
-    """The band widens with the root of the step; its lower edge isn't below 0."""
+def widened(forecast: DataFrame, z: float = 1.28) -> DataFrame:
+    """The band of a forecast (step, yhat, sigma) widens with the root of the step; its lower edge isn't below 0."""
     wide = F.lit(z) * F.col("sigma") * F.sqrt(F.col("step").cast("double"))
-    return forecast.join(sigmas, keys).withColumns({"lower": F.greatest(F.lit(0.0), F.col("yhat") - wide), "upper": F.col("yhat") + wide})
+    return forecast.withColumns({"lower": F.greatest(F.lit(0.0), F.col("yhat") - wide), "upper": F.col("yhat") + wide})
+
+
+def banded(forecast: DataFrame, sigmas: DataFrame, keys: list[str], z: float = 1.28) -> DataFrame:
+    return widened(forecast.join(sigmas, keys), z)
 
 
 def ensemble(forecasts: DataFrame, keys: list[str]) -> DataFrame:
@@ -299,11 +303,9 @@ def change(forecast: DataFrame, series: DataFrame, keys: list[str], value: str)
     return rows.withColumn("trend", F.when(F.col("change_pct") >= 0, "hausse").otherwise("baisse"))
 
 
-def holt(y: np.ndarray, steps: int) -> np.ndarray:
-    """Additive-trend exponential smoothing with the pair of weights that has the least squared one-step error."""
-    if len(y) < 3:
-        return np.repeat(y[-1:], steps)
-    best, out = np.inf, None
+def holt_fit(y: np.ndarray) -> tuple[float, float, float]:
+    """Of additive-trend exponential smoothing with the pair of weights that has the least squared one-step error: that error, last level and trend."""
+    best = (np.inf, 0.0, 0.0)
     for a in np.linspace(0.1, 0.9, 9):
         for b in np.linspace(0.05, 0.95, 7):
             level, trend, error = y[0], y[1] - y[0], 0.0
@@ -311,9 +313,17 @@ def holt(y: np.ndarray, steps: int) -> np.ndarray:
                 error += (v - level - trend) ** 2
                 was, level = level, a * v + (1 - a) * (level + trend)
                 trend = b * (level - was) + (1 - b) * trend
-            if error < best:
-                best, out = error, level + trend * np.arange(1, steps + 1)
-    return np.maximum(out, 0)
+            if error < best[0]:
+                best = error, level, trend
+    return best
+
+
+def holt(y: np.ndarray, steps: int) -> np.ndarray:
+    """Additive-trend exponential smoothing, not below 0; of fewer than three values the last one."""
+    if len(y) < 3:
+        return np.repeat(y[-1:], steps)
+    _, level, trend = holt_fit(y)
+    return np.maximum(level + trend * np.arange(1, steps + 1), 0)
 
 
 def recursive_regression(y: np.ndarray, first_month: int, steps: int) -> np.ndarray:
@@ -413,6 +423,21 @@ FITTED = {
     "seasonal_arima": lambda y, m, h: seasonal_arima(y, h),
     "boosted_stumps": boosted_stumps,
 }
+#: Models whose deviation is that of a holdout.
+HELD_OUT = ("linear_regression", "boosted_stumps")
+
+
+def one_step_sigma(model: str, y: np.ndarray, first_month: int) -> float:
+    """A model's one-step deviation, 1 at least: of its fit (smoothing), of a holdout of up to three values (regression, boosting), else of the differences."""
+    n, found = len(y), None
+    if model == "holt" and n >= 3:
+        found = np.sqrt(holt_fit(y)[0] / (n - 2))
+    elif model in HELD_OUT and n >= 5:
+        k = min(3, n // 5)
+        found = np.sqrt(np.mean((y[-k:] - FITTED[model](y[:-k], first_month, k)) ** 2))
+    elif n >= 2:
+        found = np.std(np.diff(y))
+    return 1.0 if found is None else max(1.0, float(found))
 
 
 def _each(series: DataFrame, keys: list[str], value: str, models: tuple[str, ...], more: Column | None = None) -> DataFrame:
@@ -422,15 +447,16 @@ def _each(series: DataFrame, keys: list[str], value: str, models: tuple[str, ...
 
 
 def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
-    """Forecasts of the models that have to be fitted, a series and model a group: (keys, model, step, yhat)."""
+    """Forecasts of the models that have to be fitted, a series and model a group: (keys, model, step, yhat, sigma)."""
     kinds = {f.name: f.dataType for f in series.schema.fields}
-    schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["model string, step int, yhat double"])
+    schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["model string, step int, yhat double, sigma double"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         first = pdf.iloc[0]
-        yhat = FITTED[first["model"]](pdf["y"].to_numpy(float), pd.Timestamp(first["date"]).month, steps)
-        return pd.DataFrame({**{k: first[k] for k in keys}, "model": first["model"], "step": range(1, steps + 1), "yhat": yhat})
+        model, y, month = first["model"], pdf["y"].to_numpy(float), pd.Timestamp(first["date"]).month
+        out = {"model": model, "step": range(1, steps + 1), "yhat": FITTED[model](y, month, steps), "sigma": one_step_sigma(model, y, month)}
+        return pd.DataFrame({**{k: first[k] for k in keys}, **out})
 
     return _each(series, keys, value, models).groupBy(*keys, "model").applyInPandas(one, schema)
 

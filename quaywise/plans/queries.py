@@ -447,7 +447,7 @@ def regions(spark, d):
 
 @query()
 def fitted_forecast(spark, d):
-    return rounded(forecast.fitted(regions(spark, d), K, "y", 6), "yhat")
+    return rounded(forecast.widened(forecast.fitted(regions(spark, d), K, "y", 6)), "yhat", "sigma", "lower", "upper")
 
 
 # anomalies
@@ -972,7 +972,8 @@ def model_zoo_scores(spark, d):
 @query()
 def weighted_ensemble(spark, d):
     m = regions(spark, d)
-    errors = forecast.measured(forecast.backtested(m, K, "y"), ["k", "model"]).select("k", "model", F.col("mape").alias("score"))
+    pairs = forecast.backtested(m, K, "y")
+    errors = forecast.scored(pairs.groupBy("k", "model").agg(F.avg("y").alias("mean_y"), *[c.alias(n) for n, c in forecast.errors().items()])).select("k", "model", F.col("composite").alias("score"))
     return rounded(forecast.weighted_ensemble(forecast.fitted(m, K, "y", 6), errors, K), "yhat")
 
 

@@ -34,7 +34,16 @@ def ridge(x, y, shrink):
     return np.linalg.lstsq(np.vstack([x, np.diag(np.sqrt(shrink))]), np.concatenate([y, np.zeros(len(shrink))]), rcond=None)[0]
 
 
+def plain_holt_errors(y):
+    return [t[0] for t in plain_holt_fits(y)]
+
+
 def plain_holt(y, steps):
+    _, level, trend = min(plain_holt_fits(y), key=lambda t: t[0])
+    return [max(0, level + trend * s) for s in range(1, steps + 1)]
+
+
+def plain_holt_fits(y):
     tried = []
     for i in range(1, 10):
         for j in range(7):
@@ -45,8 +54,7 @@ def plain_holt(y, steps):
                 levels.append(levels[-1] + trends[-1] + a * missed[-1])
                 trends.append(trends[-1] + b * (levels[-1] - levels[-2] - trends[-1]))
             tried.append((sum(e * e for e in missed), levels[-1], trends[-1]))
-    _, level, trend = min(tried, key=lambda t: t[0])
-    return [max(0, level + trend * s) for s in range(1, steps + 1)]
+    return tried
 
 
 def plain_regression(y, month, steps):
@@ -147,6 +155,23 @@ def test_forecasts_of_every_region(regions, fitted, model):
         assert [fitted[k, model, s] for s in range(1, 7)] == pytest.approx(want, rel=1e-5, abs=1e-4), (k, model)
 
 
+def test_bands(spark, regions):
+    for r in demand.fitted_forecast(spark, DATA).where("step in (1, 4)").collect():
+        y = [v for _, v in regions[r.k]]
+        if r.model in ("changepoint_trend", "seasonal_arima"):
+            d = [b - a for a, b in zip(y, y[1:])]
+            sigma = math.sqrt(sum((v - sum(d) / len(d)) ** 2 for v in d) / len(d))
+        elif r.model == "holt":
+            sigma = math.sqrt(min(plain_holt_errors(y)) / (len(y) - 2))
+        elif r.k in sorted(regions)[:3]:
+            yhat = PLAIN[r.model](y[:-3], regions[r.k][0][0].month, 3)
+            sigma = math.sqrt(sum((a - b) ** 2 for a, b in zip(y[-3:], yhat, strict=True)) / 3)
+        else:
+            continue
+        wide = 1.28 * max(1, sigma) * (1 if r.step == 1 else 2)
+        assert (r.lower, r.upper) == pytest.approx((max(0, r.yhat - wide), r.yhat + wide), rel=1e-5, abs=1e-4), (r.k, r.model)
+
+
 def test_scores_and_ensemble(spark, regions, fitted):
     pairs = defaultdict(list)
     for r in forecast.backtested(demand.regions(spark, DATA), ["k"], "y").collect():
@@ -169,10 +194,13 @@ def test_scores_and_ensemble(spark, regions, fitted):
         assert r.mae == pytest.approx(sum(abs(p - y) for y, p in rows) / len(rows), abs=1e-5)
         assert r.wape == pytest.approx(100 * sum(abs(p - y) for y, p in rows) / sum(y for y, _ in rows), abs=1e-5)
         assert r.composite == pytest.approx(mape[r.k, r.model] + bias / 2, rel=1e-6)
+    composite = {}
+    for key, rows in pairs.items():
+        composite[key] = mape[key] + abs(sum(p - y for _, _, y, p in rows)) * 50 / max(len(rows), sum(y for _, _, y, _ in rows))
     got = demand.weighted_ensemble(spark, DATA).collect()
     assert len(got) == 6 * len(regions)
     for r in got:
-        best = sorted((mape[r.k, m], m) for m in PLAIN)[:3]
+        best = sorted((composite[r.k, m], m) for m in PLAIN)[:3]
         want = sum(fitted[r.k, m, r.step] / s for s, m in best) / sum(1 / s for s, _ in best)
         assert r.members == 3 and r.yhat == pytest.approx(want, rel=1e-6, abs=1e-4)
 
