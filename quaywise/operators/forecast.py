@@ -395,17 +395,15 @@ def boosted_stumps(y: np.ndarray, first_month: int, steps: int, rounds: int = 15
     x, target = np.array([row(i) for i in range(start, n)], float), np.array(y[start:])
     base, trees = target.mean(), []
     rest = target - base
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 9))) for f in range(x.shape[1])]
+    splits = [(f, v, x[:, f] <= v) for f in range(x.shape[1]) for v in np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 9)))]
+    splits = [(f, v, left, ~left, left.sum()) for f, v, left in splits if left.any() and not left.all()]
     for _ in range(rounds):
         best = None
-        for f, values in enumerate(cuts):
-            for v in values:
-                left = x[:, f] <= v
-                if left.any() and not left.all():
-                    lo, hi = rest[left].mean(), rest[~left].mean()
-                    gain = left.sum() * lo * lo + (~left).sum() * hi * hi
-                    if best is None or gain > best[0]:
-                        best = (gain, f, v, rate * lo, rate * hi)
+        for f, v, left, right, size in splits:
+            lo, hi = rest[left].mean(), rest[right].mean()
+            gain = size * lo * lo + (len(rest) - size) * hi * hi
+            if best is None or gain > best[0]:
+                best = (gain, f, v, rate * lo, rate * hi)
         if best is None:
             break
         trees.append(best[1:])
@@ -446,8 +444,8 @@ def _each(series: DataFrame, keys: list[str], value: str, models: tuple[str, ...
     return rows if more is None else rows.withColumn("fold", F.explode(more))
 
 
-def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: tuple[str, ...] = tuple(FITTED)) -> DataFrame:
-    """Forecasts of the models that have to be fitted, a series and model a group: (keys, model, step, yhat, sigma)."""
+def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: tuple[str, ...] = tuple(FITTED), sigmas: bool = False) -> DataFrame:
+    """Forecasts of the models that have to be fitted, a series and model a group: (keys, model, step, yhat, sigma); sigma is NaN unless asked for."""
     kinds = {f.name: f.dataType for f in series.schema.fields}
     schema = ", ".join([f"{k} {kinds[k].simpleString()}" for k in keys] + ["model string, step int, yhat double, sigma double"])
 
@@ -455,7 +453,7 @@ def fitted(series: DataFrame, keys: list[str], value: str, steps: int, models: t
         pdf = pdf.sort_values("date")
         first = pdf.iloc[0]
         model, y, month = first["model"], pdf["y"].to_numpy(float), pd.Timestamp(first["date"]).month
-        out = {"model": model, "step": range(1, steps + 1), "yhat": FITTED[model](y, month, steps), "sigma": one_step_sigma(model, y, month)}
+        out = {"model": model, "step": range(1, steps + 1), "yhat": FITTED[model](y, month, steps), "sigma": one_step_sigma(model, y, month) if sigmas else np.nan}
         return pd.DataFrame({**{k: first[k] for k in keys}, **out})
 
     return _each(series, keys, value, models).groupBy(*keys, "model").applyInPandas(one, schema)

@@ -447,7 +447,7 @@ def regions(spark, d):
 
 @query()
 def fitted_forecast(spark, d):
-    return rounded(forecast.widened(forecast.fitted(regions(spark, d), K, "y", 6)), "yhat", "sigma", "lower", "upper")
+    return rounded(forecast.widened(forecast.fitted(regions(spark, d), K, "y", 6, sigmas=True)), "yhat", "sigma", "lower", "upper")
 
 
 # anomalies
