@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaywise.llm import html_text, langid, media, minhash, mixing, quality, rlz, sentencepieces, simhash, toxicity
+from quaywise.llm import alignment, clusters, html_text, langid, media, minhash, mixing, quality, rlz, sentencepieces, simhash, token_counts, toxicity
 from quaywise.llm.tables import table
 
 
@@ -53,14 +53,69 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.removal(table(spark, sf_dir, "documents"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash, op3_mixing, op4_language, op5_sentencepiece, op6_media, op7_quality, op8_html, op9_minhash, op10_substrings)
+    for f in (
+        op1_toxicity,
+        op2_simhash,
+        op3_mixing,
+        op4_language,
+        op5_sentencepiece,
+        op6_media,
+        op7_quality,
+        op8_html,
+        op9_minhash,
+        op10_substrings,
+        op11_tokens,
+        op12_clusters,
+        op13_alignment,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _clusters_sql(rounds: int = clusters.ROUNDS) -> str:
+    """Each round assigns by comparing with every centroid, and takes floors of exact quotients, as a pair of common tables."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT row, c.k AS cluster, list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+  FROM kept, centre{r} c QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, c.k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+parts{r} AS (SELECT n.cluster, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM near{r} n JOIN kept USING (row), range(1, 65) AS t(i) GROUP BY n.cluster, i),
+centre{r + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.v, c.v) AS v FROM centre{r} c LEFT JOIN
+    (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM parts{r} GROUP BY cluster) m ON m.cluster = c.k)""")
+    return f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row FROM whole),
+centre0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS k, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) <= 8),{",".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY cluster) AS cluster_size
+FROM near{rounds} n JOIN kept USING (row) JOIN centre{rounds} c ON c.k = n.cluster"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_clusters": _clusters_sql(),
     "op3_mixing": rf"""
 WITH sized AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
