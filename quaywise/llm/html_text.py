@@ -6,6 +6,12 @@ class or id counting only where all of its words are boilerplate. A marked eleme
 of the page: it holds most of the text, and an article, a main element or a first-level heading besides. Of one that is
 never ended only its own text is left out, as nobody knows what it was to hold.
 
+An element is suspect if a class or id of it begins or ends with a word of reader comments or adverts ('comment-thread',
+'google-ads'), unless another word only states whether there are any ('comments-open', 'ad-free'). A suspect one goes as
+well, but not if it holds nine tenths of the page's text, nor if a heading in it has another word of the same class or
+id, as then that is the subject ('ad-hoc-networks'). An article can be suspect of being a comment, and then isn't a heart
+of the page that would save what is around it.
+
 For every node that stays the characters per tag are computed and lowered by the share of links among them; a node's
 density sum is the sum of its children's densities. The node with the greatest sum is the core of the article, and the
 least density on its path to the body is the threshold: of every subtree that is as dense as the threshold the node of
@@ -44,7 +50,7 @@ BLOCK = frozenset(
 DROPPED = frozenset("nav footer aside form button select option optgroup datalist dialog menu object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners cookie cookies consent gdpr notice notices notification "
+    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle adsense banner banners cookie cookies consent gdpr notice notices notification "
     "popup popups modal overlay newsletter subscribe subscription promo promos promotion promoted sponsor sponsored sponsors sidebar sidebars "
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer footers topbar toolbar comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations widget widgets pagination pager login signup masthead skip tags".split()
@@ -53,6 +59,9 @@ NAMES = frozenset(
 FILLERS = frozenset("area bar block bottom box center col column container content footer global header inner item left link links list main nav outer page panel primary right section secondary site top wrap wrapper".split())
 #: The words that a paragraph is left out for.
 ADVERTS = frozenset(w for w in NAMES if w.startswith(("ad", "sponsor")))
+#: Words of reader comments, which an element is suspect for, and words that say only whether there are comments or adverts.
+COMMENTS = frozenset("comment comments commenter commenters commentlist disqus replies reply respond".split())
+STATES = frozenset("allowed closed disabled enabled free has hide no not off on open show with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never left out by class or id.
 NAMED_FREELY = HEADINGS | {"main", "article"}
@@ -64,7 +73,7 @@ LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 OPTIONAL = frozenset(("p", *CLOSES))
 
 #: What a class or id says of an element, and what its tag, role or style says.
-BY_NAME, BY_KIND, HIDDEN = 1, 2, 3
+BY_NAME, BY_KIND, HIDDEN, SUSPECT = 1, 2, 3, 4
 
 _MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
 _NO_VALUES = re.compile(r"[^>=\"']*>")
@@ -82,6 +91,22 @@ def _is_boilerplate(token: str, names: frozenset[str]) -> bool:
     return any(w in names for w in words) and all(w in names or w in FILLERS for w in words)
 
 
+def _suspect(token: str, names: frozenset[str]) -> set[str] | None:
+    """If a class or id begins or ends with one of the names (fillers aside), its other words; else None."""
+    words = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+    core = [w for w in words if w not in FILLERS]
+    if not core or not STATES.isdisjoint(words) or not (core[0] in names or core[-1] in names):
+        return None
+    return set(core) - names
+
+
+def _suspicion(tag: str, attrs: dict[str, str]) -> set[str] | None:
+    """What else the classes and ids say that make an element suspect, or None."""
+    names = COMMENTS if tag == "article" else ADVERTS if tag == "p" else COMMENTS | ADVERTS
+    found = [s for key in ("class", "id") for token in attrs.get(key, "").split() if (s := _suspect(token, names)) is not None]
+    return set().union(*found) if found else None
+
+
 def _mark(tag: str, attrs: dict[str, str], inside: bool) -> int:
     """Why an element is to be left out, or 0; inside: within an article or main element, where a header belongs to the article."""
     if tag in DROPPED or tag == "header" and not inside:
@@ -90,12 +115,16 @@ def _mark(tag: str, attrs: dict[str, str], inside: bool) -> int:
         return 0
     if "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attrs.get("style", "")):
         return HIDDEN
+    if tag == "article" and _suspicion(tag, attrs) is not None:
+        return SUSPECT
     if tag in NAMED_FREELY:
         return 0
     if attrs.get("role", "").lower() in ROLES:
         return BY_KIND
     names = ADVERTS if tag == "p" else NAMES if inside else NAMES | {"header"}
-    return BY_NAME if any(_is_boilerplate(token, names) for key in ("class", "id") for token in attrs.get(key, "").split()) else 0
+    if any(_is_boilerplate(token, names) for key in ("class", "id") for token in attrs.get(key, "").split()):
+        return BY_NAME
+    return 0 if _suspicion(tag, attrs) is None else SUSPECT
 
 
 class Page:
@@ -107,6 +136,7 @@ class Page:
 
     def __init__(self, page: str) -> None:
         self.tags, self.parents, self.marks, self.ended = ["body"], [-1], [0], [True]
+        self.subjects: dict[int, set[str]] = {}  # of suspect nodes: the words that say what else they may be of
         self.events: list[tuple[int, str | None]] = []  # node and text, None at the edge of a block
         self.first, self.past = [0], [0]
         self._stack, self._at = [0], {}
@@ -200,6 +230,8 @@ class Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.marks.append(mark)
+        if mark == SUSPECT:
+            self.subjects[len(self.tags) - 1] = _suspicion(tag, attrs) or set()
         self.ended.append(False)
         self.first.append(len(self.events))
         self.past.append(0)
@@ -240,20 +272,35 @@ class Page:
         for node, text in self.events:
             if text:
                 own[node] += len(text) - text.count(" ")
-        held, heart = own[:], [t in HEARTS for t in self.tags]
+        held, heart = own[:], [t in HEARTS and m != SUSPECT for t, m in zip(self.tags, self.marks, strict=True)]
         for i in range(n - 1, 0, -1):
             held[self.parents[i]] += held[i]
             heart[self.parents[i]] = heart[self.parents[i]] or heart[i] and self.marks[i] != HIDDEN
         self.out, self.mute = [False] * n, [False] * n
+        named = self._named()
         for i in range(1, n):
             if self.out[self.parents[i]]:
                 self.out[i] = True
             elif self.marks[i]:
                 if not self.ended[i]:
                     self.mute[i] = True
+                elif self.marks[i] == SUSPECT:
+                    self.out[i] = i not in named and 10 * held[i] <= 9 * held[0] and (2 * held[i] <= held[0] or not heart[i])
                 elif self.marks[i] == HIDDEN or 2 * held[i] <= held[0] or not heart[i]:
                     self.out[i] = True
 
+    def _named(self) -> set[int]:
+        """The suspect nodes that have a heading (of those in no other suspect node inside) with a word of their subject."""
+        if not self.subjects:
+            return set()
+        n = len(self.tags)
+        near, heading = [-1] * n, [-1] * n
+        for i in range(1, n):
+            p = self.parents[i]
+            near[i] = i if i in self.subjects else near[p]
+            heading[i] = i if self.tags[i] in HEADINGS else heading[p]
+        return {near[node] for node, text in self.events if text and heading[node] >= 0 and near[node] >= 0 and not self.subjects[near[node]].isdisjoint(w.lower() for w in _WORD.findall(text))}
+
     def densities(self) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
         """Of each node its density and density sum, and the characters, linked characters and tags it holds."""
         n = len(self.tags)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from quaywise.llm import simhash, textkit
 from quaywise.llm.components import components
-from quaywise.llm.tables import cut, free, text_of
+from quaywise.llm.tables import cut, free, quoted, text_of
 
 WIDTH, ROWS, BANDS = 5, 6, 30
 #: The least similarity of near copies as a fraction.
@@ -229,4 +229,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     chosen = member.groupBy("root").agg(F.min("first").alias(key)).select(key).distinct()
     kept = docs.withColumn(key, place).join(chosen, key, "left_semi")
     once = F.row_number().over(W.partitionBy(key).orderBy(key))
-    return kept.withColumn(number, once).where(F.col(number) == 1).select(*[f"`{c}`" for c in docs.columns])
+    return kept.withColumn(number, once).where(F.col(number) == 1).select(*map(quoted, docs.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaywise.llm.tables import NOT_SPACE, cut, free
+from quaywise.llm.tables import cut, free, quoted, NOT_SPACE
 
 #: Bits of the hash that each of the two histograms looks at.
 CELL_BITS = 12
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, **how: object) -> DataFrame:
     limits = settled(cut(sized(docs)), **how)
     name, step = free(docs, "_copies", "_copy")
     rows, _ = _with_copies(docs.where(F.col("text").rlike(NOT_SPACE)), limits, name, F.col("source"), id_hash(), _place(id_hash(), F.col("doc_id"), word_count(), F.xxhash64("text")))
-    return rows.where(F.col(name) > 0).withColumn(step, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*[f"`{c}`" for c in docs.columns])
+    return rows.where(F.col(name) > 0).withColumn(step, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*map(quoted, docs.columns))
 
 
 def mixture(docs: DataFrame, **how: object) -> DataFrame:

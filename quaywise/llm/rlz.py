@@ -11,10 +11,12 @@ word does. All factors are `window` words or longer; they are the duplicate span
 
 A document meets every block, but no block is sent to every document. Each window of 20 words is represented by its
 least 8-gram (its anchor; neighbours mostly share it); blocks exchange their distinct anchors, and only windows whose
-anchor occurs in another block are looked up in the distributed index, as 96-bit hashes, one row for each distinct
+anchor occurs in another block are looked up in the distributed index, as 128-bit hashes, one row for each distinct
 window of a block. So a passage that a third of all documents hold is one row a block, not one a document, and what
-repeats inside a block is settled there. Inside a block a factor's words are compared; across blocks equality is that of
-96 bits (for the 10^13 windows of 100 TB, one wrong match is to be expected in about a thousand runs).
+repeats inside a block is settled there. Inside a block the words themselves are compared: each distinct word of a block has
+a number, and a factor goes on as long as the numbers are equal. Across blocks equality is that of 128 bits, which come
+from the bytes of the words through two independent scrambling hashes (for the 10^13 windows of 100 TB, one wrong match is
+to be expected in about 10^12 runs).
 
 Words are runs of anything but ASCII white space, unchanged. Null texts have no words. Null ids come last in the order;
 documents of one id are ordered by block, and by text inside it. Repeated rows are dealt by the partition they were read
@@ -34,39 +36,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaywise.llm import textkit
-from quaywise.llm.tables import text_of
+from quaywise.llm.tables import quoted, text_of
 
 #: Words of a window and of an anchor, and the bytes of text that a block holds, about.
 WINDOW, ANCHOR, BLOCK_BYTES = 20, 8, 8_000_000
 _LAST = (1 << 63) - 1
+_BASES = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
+_STEPS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
 
 
-def _runs(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of each run of n values, by doubling."""
-    out, have, todo, done = None, h, n, 0
-    size, factor = 1, base
-    while todo:
+def _runs(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A hash of each run of n values: those of two halves are scrambled together, again and again."""
+    base, step = _BASES[seed], _STEPS[seed]
+    out, done, have, size, todo = None, 0, h, 1, n
+    while len(h) >= n:
         if todo & 1:
             if out is None:
                 out, done = have, size
             else:
                 m = len(h) - done - size + 1
-                lift = np.uint64(pow(int(base), size, 1 << 64))
-                out = out[:m] * lift + have[done : done + m]
-                done += size
+                out, done = textkit.mix(out[:m] * base + textkit.mix(have[done : done + m] + step)), done + size
         todo >>= 1
-        if todo:
-            m = len(have) - size
-            if m <= 0:
-                return np.zeros(0, np.uint64)
-            have = have[:m] * factor + have[size : size + m]
-            factor = np.uint64(pow(int(factor), 2, 1 << 64))
-            size *= 2
-    return out if len(h) >= n else np.zeros(0, np.uint64)
+        if not todo:
+            return out
+        have = textkit.mix(have[:-size] * base + textkit.mix(have[size:] + step))
+        size *= 2
+    return np.zeros(0, np.uint64)
 
 
 class Block:
-    """The words of a block's documents in order, and the hashes of its windows."""
+    """The words of a block's documents in order, as two independent hashes each, and the hashes of its windows."""
 
     def __init__(self, table: pa.Table, window: int) -> None:
         ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
@@ -74,7 +73,7 @@ class Block:
         self.ids = np.array([_LAST if ids[i] is None else ids[i] for i in self.order], dtype=np.int64)
         self.data = [texts[i].encode("utf-8", "surrogatepass") for i in self.order]
         self.window = window
-        parts, counts = [], np.zeros(len(self.data), np.int64)
+        parts, counts = ([], []), np.zeros(len(self.data), np.int64)
         at = 0
         while at < len(self.data):
             end, held = at, 0
@@ -85,18 +84,24 @@ class Block:
             first, past = textkit.word_spans(joint)
             begins = np.cumsum([0, *(len(d) + 1 for d in self.data[at:end])])
             counts[at:end] = np.diff(np.searchsorted(first, begins))
-            parts.append(textkit.word_hashes(joint, first, past))
+            for seed in (0, 1):
+                parts[seed].append(textkit.word_hashes(joint, first, past, seed))
             at = end
-        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.hashes = tuple(np.concatenate([np.zeros(0, np.uint64), *p]) for p in parts)
         self.counts, self.begins = counts, np.concatenate(([0], np.cumsum(counts)))
-        left = np.repeat(self.begins[1:], counts) - np.arange(len(self.words))
+        left = np.repeat(self.begins[1:], counts) - np.arange(self.begins[-1])
         self.starts = np.flatnonzero(left >= window)
         self.doc = np.repeat(np.arange(len(counts)), counts)
 
+    def numbers(self) -> np.ndarray:
+        """The words as numbers, equal ones for equal words only."""
+        of: dict[bytes, int] = {}
+        return np.fromiter((of.setdefault(w, len(of)) for d in self.data for w in d.split()), np.int64, self.begins[-1])
+
     def anchors(self) -> np.ndarray:
         """The least 8-gram of each window."""
         k = min(ANCHOR, self.window)
-        least, size, span = textkit.mix(_runs(self.words, k, np.uint64(0xD6E8FEB86659FD93))), 1, self.window - k + 1
+        least, size, span = textkit.mix(_runs(self.hashes[0], k, 1)), 1, self.window - k + 1
         while size * 2 <= span and len(least) > size:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -106,8 +111,7 @@ class Block:
 
     def seeds(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of the windows that start there."""
-        bases = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
-        return tuple(textkit.mix(_runs(self.words, self.window, b))[starts] if len(starts) else np.zeros(0, np.uint64) for b in bases)
+        return tuple(_runs(self.hashes[k], self.window, k)[starts] if len(starts) else np.zeros(0, np.uint64) for k in (0, 1))
 
     def earliest(self, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each of the windows, in order of place, the number of the first one equal to it."""
@@ -127,7 +131,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _blocks(docs: DataFrame, block_bytes: int, carry: list[str]) -> DataFrame:
     """docs with the number of their block; blocks hold about block_bytes bytes, whatever the ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(quoted(c)).alias(f"_c_{i}") for i, c in enumerate(carry)])
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-total // block_bytes))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(number)))
@@ -143,7 +147,7 @@ def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
         found = np.unique(Block(table, window).anchors())
         return pa.table({"block": pa.repeat(table.column("block")[0], len(found)), "anchor": _signed(found)})
 
-    kinds = [("a", pa.int64()), ("b", pa.int32()), ("doc", pa.int64()), ("place", pa.int64())] + [("start", pa.int64())] * where
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())] + [("start", pa.int64())] * where
 
     def seeds(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -157,13 +161,13 @@ def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
         one = block.earliest(starts, a, b) == np.arange(len(starts))
         starts, a, b = starts[one], a[one], b[one]
         doc, place = block.doc[starts], (left.column("block")[0].as_py() << 32) + starts
-        cols = [_signed(a), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(block.ids[doc]), pa.array(place)]
+        cols = [_signed(a), _signed(b), pa.array(block.ids[doc]), pa.array(place)]
         return pa.table(dict(zip([k for k, _ in kinds], cols + [pa.array(starts - block.begins[doc])] * where, strict=True)))
 
     known = blocks.groupBy("block").applyInArrow(anchors, "block long, anchor long")
     every = W.partitionBy("anchor")
     shared = known.withColumns({"lo": F.min("block").over(every), "hi": F.max("block").over(every)}).where("lo <> hi").select("block", "anchor")
-    index = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(seeds, "a long, b int, doc long, place long" + ", start long" * where)
+    index = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(seeds, "a long, b long, doc long, place long" + ", start long" * where)
     same = W.partitionBy("a", "b").orderBy("doc", "place").rowsBetween(W.unboundedPreceding, 0)
     more = {"ref_doc": F.first("doc").over(same), "ref_start": F.first("start").over(same)} if where else {}
     hits = index.withColumns({"ref": F.first("place").over(same)} | more).where("place <> ref")
@@ -191,7 +195,7 @@ def _factors(block: Block, at: np.ndarray, ref_at: np.ndarray, window: int) -> l
     """
     if not len(at):
         return []
-    words, doc, ends = block.words, block.doc, block.begins[1:]
+    words, doc, ends = block.numbers(), block.doc, block.begins[1:]
     breaks = np.flatnonzero((at[1:] != at[:-1] + 1) | (ref_at[1:] != ref_at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])) + 1
     run_end = np.append(breaks, len(at))[np.searchsorted(breaks, np.arange(len(at)), "right")]
     out, i = [], 0
@@ -218,13 +222,13 @@ def _factors(block: Block, at: np.ndarray, ref_at: np.ndarray, window: int) -> l
 
 
 def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), kept: bool = False, factors: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept and factors for every row of docs, and its columns `carry` as _c_<name>.
+    """doc_id, n_words, n_removed, kept_sha256, kept and factors for every row of docs, and its columns `carry` as _c_0, _c_1, ...
 
     kept (the words that no factor covers, joined by a space) and factors (start and length in words, and the document
     and start of the reference) are null unless asked for.
     """
     blocks = _blocks(docs, block_bytes, list(carry))
-    extra = [blocks.schema[f"_c_{c}"] for c in carry]
+    extra = [blocks.schema[f"_c_{i}"] for i in range(len(carry))]
     schema = T.StructType([*PARSED.fields, *extra])
 
     def factored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -239,7 +243,7 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
             for ours, name in ((ref_at, "ref_at"), (ref_doc, "ref_doc"), (ref_start, "ref_start"))[: 3 if factors else 1]:
                 ours[far] = right.column(name).to_numpy()
         found = _factors(block, starts[copy], ref_at[copy], window)
-        edge = np.zeros(len(block.words) + 1, np.int64)
+        edge = np.zeros(block.begins[-1] + 1, np.int64)
         begins, lengths = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
         np.add.at(edge, begins, 1)
         np.add.at(edge, begins + lengths, -1)
@@ -281,10 +285,10 @@ def deduplicated(docs: DataFrame, **how: object) -> DataFrame:
     """docs with their texts replaced by what no factor covers; all rows and columns stay (n_chars is counted anew if there)."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     rows = parse(docs, carry=others, kept=True, **how)
-    rows = rows.select("doc_id", F.col("kept").alias("text"), *[F.col(f"_c_{c}").alias(c) for c in others])
+    rows = rows.select("doc_id", F.col("kept").alias("text"), *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(others)])
     if "n_chars" in others:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    return rows.select([quoted(c) for c in docs.columns])
 
 
 def removal(docs: DataFrame, **how: object) -> DataFrame:

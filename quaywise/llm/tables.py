@@ -28,6 +28,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, else the checkpoint folder that was set on its context.
 

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ASCII white space that separates words, as bytes.split() and the class [\x20\x09-\x0D] have it.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes of a word that is hashed apart.
+LONG_WORD = 256
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -73,22 +77,27 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, from prefix sums of a polynomial; equal words, equal hashes."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), _BASE), out=prefix[1:])
-    back = powers(len(data), inverse)[starts]
-    return mix((prefix[ends] - prefix[starts]) * back + (ends - starts).astype(np.uint64) * _MIX1)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word: eight bytes at a time, each scrambled with what came before it.
+
+    Long words (over LONG_WORD bytes) are hashed by XXH3 of their bytes. Hashes of two seeds are independent.
+    """
+    sizes = ends - starts
+    h = mix((sizes.astype(np.uint64) + np.uint64(seed + 1)) * _BASE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    left = np.flatnonzero(sizes <= LONG_WORD)
+    at = 0
+    while len(left):
+        first, rest = starts[left] + at, sizes[left] - at
+        part = np.zeros(len(left), np.uint64)
+        for k in range(8):
+            part |= np.where(k < rest, padded[np.minimum(first + k, len(data))], 0).astype(np.uint64) << np.uint64(8 * k)
+        h[left] = mix((h[left] ^ part) * _MIX1 + _BASE)
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed))
+    return mix(h)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

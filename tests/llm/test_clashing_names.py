@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 NAMES = (
     "size target budget before cell sub copies whole h edge fit place _c _u _s _k _h _n _q _m _fp _score _mix _limit _place _copy _copies _text _key block words kept "
     "c n bands key root hub token_ids n_tokens score label held_out predicted a b doc start"
-).split()
+).split() + ["a.b", "x y", "b`t", "c.d.e", "`q`"]
 
 
 def frame(spark):

@@ -44,6 +44,35 @@ def test_matches_brute_force(spark, window, block_bytes, n):
     assert odd.got(rlz.removal(df, window=window, block_bytes=block_bytes)) == sorted(plain(rows, window), key=repr)
 
 
+def mirrored(n):
+    """Two words of n letters (a power of two) that every polynomial of their letters modulo 2^64 confuses."""
+    odd_ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in odd_ones), "".join("ba"[x] for x in odd_ones)
+
+
+@pytest.mark.parametrize("block_bytes", [100, 10**9])
+@pytest.mark.parametrize("n", [64, 256, 4096, 16384])
+def test_words_are_told_apart_by_their_letters(spark, n, block_bytes):
+    rest = " ".join(odd.words(3, 19))
+    a, b = mirrored(n)
+    rows = [(i, f"{w} {rest}") for i, w in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in rlz.removal(df, block_bytes=block_bytes).collect()] == [0, 0]
+    rows.append((2, f"x {b} {rest}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert odd.got(rlz.removal(df, block_bytes=block_bytes)) == sorted(plain(rows, 20), key=repr)
+
+
+@pytest.mark.parametrize("block_bytes", [20_000, 10**9])
+def test_words_of_thousands_of_letters(spark, block_bytes):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("ab") for _ in range(10_000 + k)) for k in range(6)] + list(mirrored(8192))
+    rows = [(i, " ".join(rng.choice(long if rng.random() < 0.3 else ["c", "d"]) for _ in range(60))) for i in range(12)]
+    rows += [(20 + i, t) for i, t in rows[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert odd.got(rlz.removal(df, window=3, block_bytes=block_bytes)) == sorted(plain(rows, 3), key=repr)
+
+
 def test_factors_point_at_earlier_equal_words(spark):
     rows = corpus(7, 120)
     words = {i: t.split() for i, t in rows}
