@@ -10,8 +10,7 @@ keeps it, up to HELD windows, then begins anew.
 
 A first pass writes one row a document (its ids, counts and the hash of its groups) and the links of each task by id pair,
 summed in the task. Spark sums these to the corpus-wide count of each pair and finds the highest of each B id. The second
-pass goes over the written ids, window by window, and adds the counts up; a window is looked up once, too. The counts go to the
-executors in slices of at most SLICE pairs (24 bytes each), so that what is broadcast has a bound whatever the corpus;
+pass goes over the written ids and adds the counts of their links up. The counts go to the executors in slices of at most SLICE pairs (24 bytes each), so that what is broadcast has a bound whatever the corpus;
 where there are several slices, the documents take one after the other and add up. No links of documents are shuffled.
 
 Huge documents are tokenised in chunks: A by `token_counts.ByteBpe.ids`, B between words, as no piece reaches from
@@ -23,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ HELD, ROW_PAIRS, SLICE = 300_000, 50_000, 2_000_000
 #: Characters from which a text is given to SentencePiece in parts.
 LONG = 100_000
 
+#: Between the ids of A and those of B in a key of the memo; no id has this value.
+_MARK = b"\xff\xff\xff\xff"
 _BETWEEN = re.compile(r"(?<=[^ ])(?= .)", re.S)
 
 
@@ -93,29 +96,37 @@ class Aligner:
     """The memo of a worker: what each pair of id tuples holds."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
+        self.sizes_a, self.sizes_b = ([len(x) for x in t] for t in (a_bytes, b_bytes))
+        self.size_a, self.size_b = np.array(self.sizes_a, np.int64), np.array(self.sizes_b, np.int64)
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in t]) for t in (a_bytes, b_bytes))
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.memo: dict[bytes, int] = {}  # by the ids of A, a mark and the ids of B
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
         self.n_groups: list[int] = []
-
-    def links_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """The links of a window as a << 32 | b, and its groups as text."""
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        # Between two neighbours of all ends lies one token of each: these are the overlapping pairs.
-        ends = np.unique(np.concatenate([ends_a, ends_b]))
-        links = a[np.searchsorted(ends_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, ends)].astype(np.int64)
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cut_a, cut_b = np.searchsorted(ends_a, shared).tolist(), np.searchsorted(ends_b, shared).tolist()
-        groups, i, j, ids_a, ids_b = [], 0, 0, a.tolist(), b.tolist()
-        for x, y in zip(cut_a, cut_b, strict=True):
-            groups.append(f"{','.join(map(str, ids_a[i : x + 1]))}|{','.join(map(str, ids_b[j : y + 1]))}")
-            i, j = x + 1, y + 1
-        return links, groups
+        self.n_links: list[int] = []
+        self.links = array("q")  # of all entries, one behind the other, as a << 32 | b
+
+    def _add(self, a: list[int], b: list[int]) -> None:
+        """Aligns the tokens of a window, which begin and end together."""
+        before = len(self.links)
+        ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, a))), list(accumulate(map(self.sizes_b.__getitem__, b)))
+        at = dict(zip(ends_b, range(1, len(b) + 1), strict=True))
+        cuts = [(i, at[e]) for i, e in enumerate(ends_a, 1) if e in at]
+        i = j = 0
+        for e in sorted({*ends_a, *ends_b}):  # between two neighbours of all ends lies one token of each: these overlap
+            self.links.append(a[i] << 32 | b[j])
+            i, j = i + (ends_a[i] == e), j + (ends_b[j] == e)
+        self.n_groups.append(len(cuts))
+        self.n_links.append(len(self.links) - before)
+        a, b = list(map(str, a)), list(map(str, b))
+        i = j = 0
+        out = []
+        for x, y in cuts:
+            out.append(",".join(a[i:x]) + "|" + ",".join(b[j:y]))
+            i, j = x, y
+        self.groups.append(";".join(out))
 
     def windows(self, a: list[np.ndarray], b: list[np.ndarray]) -> Windows:
         """The windows of documents whose tokens cover the same bytes; their ids as arrays of 32 bits."""
@@ -130,18 +141,14 @@ class Aligner:
         after_a, after_b = np.append(self.spaced_a[flat_a], True)[at_a + 1], np.append(self.spaced_b[flat_b], True)[at_b + 1]
         anchor = (after_a & after_b) | last_of_doc[at_a]
         to_a, to_b = at_a[anchor] + 1, at_b[anchor] + 1
-        raw_a, raw_b = flat_a.astype("<u4").tobytes(), flat_b.astype("<u4").tobytes()
-        bytes_a, bytes_b = (to_a * 4).tolist(), (to_b * 4).tolist()
+        raw_a, raw_b = flat_a.astype(np.uint32).tobytes(), flat_b.astype(np.uint32).tobytes()
         memo, entries, i, j = self.memo, [], 0, 0
-        for x, y in zip(bytes_a, bytes_b, strict=True):
-            key = raw_a[i:x], raw_b[j:y]
+        for x, y in zip((to_a * 4).tolist(), (to_b * 4).tolist(), strict=True):
+            key = raw_a[i:x] + _MARK + raw_b[j:y]
             entry = memo.get(key)
             if entry is None:
                 entry = memo[key] = len(memo)
-                links, groups = self.links_of(*(np.frombuffer(k, np.uint32) for k in key))
-                self.links.append(links)
-                self.groups.append(";".join(groups))
-                self.n_groups.append(len(groups))
+                self._add(flat_a[i // 4 : x // 4].tolist(), flat_b[j // 4 : y // 4].tolist())
             entries.append(entry)
             i, j = x, y
         starts = np.searchsorted(to_a, np.concatenate(([0], doc_ends[:-1])), "right")
@@ -166,10 +173,10 @@ def _aligner(vocabulary: bytes, model: bytes) -> Aligner:
     return Aligner(token_counts.bpe(vocabulary, False).bytes_of, pieces(model).bytes_of)
 
 
-def _sums(counts: np.ndarray, links: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct pairs and how often they are linked, if window i occurs counts[i] times; in parts of ROW_PAIRS."""
-    sizes = np.array([len(x) for x in links], np.int64)
-    pair, where = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True)
+def _sums(counts: np.ndarray, memo: Aligner) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs and how often they are linked, if the window of entry i occurs counts[i] times; in parts of ROW_PAIRS."""
+    sizes = np.array(memo.n_links[: len(counts)], np.int64)
+    pair, where = np.unique(np.array(memo.links[: sizes.sum()], np.int64), return_inverse=True)
     often = np.zeros(len(pair), np.int64)
     np.add.at(often, where, np.repeat(counts, sizes))
     some = np.flatnonzero(often)
@@ -187,7 +194,7 @@ def tokenised(docs: DataFrame, vocabulary: bytes, model: bytes) -> DataFrame:
         counts = np.zeros(0, np.int64)
 
         def partial() -> Iterator[pa.RecordBatch]:
-            for pair, often in _sums(counts, memo.links[: len(counts)]):
+            for pair, often in _sums(counts, memo):
                 cells = [[None], [None], [None], [None], [None], [None], [pair], [often]]
                 yield _record(cells)
 
@@ -209,7 +216,7 @@ def tokenised(docs: DataFrame, vocabulary: bytes, model: bytes) -> DataFrame:
             for i, j in zip(w.starts.tolist(), ends.tolist(), strict=True):
                 own = entries[i:j]
                 groups.append(sum(map(memo.n_groups.__getitem__, own)))
-                links.append(sum(len(memo.links[e]) for e in own))
+                links.append(sum(map(memo.n_links.__getitem__, own)))
                 digests.append(hashlib.sha256(";".join(map(memo.groups.__getitem__, own)).encode()).hexdigest() if own else "")
             raw_a, raw_b = ([x.astype("<u4").tobytes() for x in ids] for ids in (a_ids, b_ids))
             none = [None] * len(texts)
@@ -243,6 +250,26 @@ def pair_counts(first: DataFrame) -> DataFrame:
 _ADDED = "doc_id long, a binary, b binary, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
 
 
+def _links(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of documents that lie one behind the other, as a << 32 | b, and the byte that each ends at.
+
+    Between two neighbours of all ends lies one token of each: these are the overlapping pairs.
+    """
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
+    return a[np.searchsorted(ends_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, ends)].astype(np.int64), ends
+
+
+def _found(links: np.ndarray, pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count of each link and whether it is the best of its B id, 0 for those that aren't in the slice."""
+    if not len(pair):
+        return np.zeros((2, len(links)), np.int64)
+    near = np.minimum(np.searchsorted(pair, links), len(pair) - 1)
+    there = pair[near] == links
+    return np.where(there, n[near], 0), np.where(there, best[near], 0).astype(np.int64)
+
+
 def _with_slice(rows: DataFrame, part: DataFrame, vocabulary: bytes, model: bytes) -> DataFrame:
     """rows with n_best and count_sum grown by what the pairs of one slice of the counts give; the slice goes to the executors."""
     found = part.toArrow()
@@ -252,30 +279,18 @@ def _with_slice(rows: DataFrame, part: DataFrame, vocabulary: bytes, model: byte
     sent, counts = sc.broadcast((vocabulary, model)), sc.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Aligner(token_counts.bpe(sent.value[0], False).bytes_of, pieces(sent.value[1]).bytes_of)
-        pair, n, best = counts.value
-        sums, bests = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in (x.slice(at, 100) for x in batches for at in range(0, len(x), 100)):
+        size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (token_counts.bpe(sent.value[0], False).bytes_of, pieces(sent.value[1]).bytes_of))
+        for b in (x.slice(at, 50) for x in batches for at in range(0, len(x), 50)):
             a_ids, b_ids = ([np.frombuffer(x, "<u4") for x in b.column(k).to_pylist()] for k in (1, 2))
-            w = memo.windows(a_ids, b_ids)
-            if len(memo.links) > len(sums):
-                new = memo.links[len(sums) :]
-                owner = np.repeat(np.arange(len(new)), [len(x) for x in new])
-                links = np.concatenate(new)
-                near = np.minimum(np.searchsorted(pair, links), max(len(pair) - 1, 0))
-                there = pair[near] == links if len(pair) else np.zeros(len(links), bool)
-                more = np.zeros((2, len(new)), np.int64)
-                np.add.at(more[0], owner[there], n[near[there]])
-                np.add.at(more[1], owner[there], best[near[there]].astype(np.int64))
-                sums, bests = np.concatenate([sums, more[0]]), np.concatenate([bests, more[1]])
-            doc = np.repeat(np.arange(len(a_ids)), np.diff(np.append(w.starts, len(w.entries))))
-            total = np.zeros((2, len(a_ids)), np.int64)
-            np.add.at(total[0], doc, bests[w.entries])
-            np.add.at(total[1], doc, sums[w.entries])
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(b.column(6).to_numpy() + total[0]), pa.array(b.column(7).to_numpy() + total[1])], names=b.schema.names)
-            if len(memo.memo) > HELD:
-                memo.clear()
-                sums, bests = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            flat_a, flat_b = np.concatenate(a_ids), np.concatenate(b_ids)
+            ends_a, ends_b = np.cumsum(size_a[flat_a]), np.cumsum(size_b[flat_b])
+            links, of = _links(flat_a, ends_a, flat_b, ends_b)
+            distinct, where = np.unique(links, return_inverse=True)
+            n, best = _found(distinct, *counts.value)
+            last = np.concatenate(([0], np.append(0, ends_a)[np.cumsum([len(x) for x in a_ids])]))
+            cuts = np.searchsorted(of, last, "right")
+            total = (np.concatenate(([0], np.cumsum(x[where])))[cuts] for x in (best, n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *(pa.array(b.column(k).to_numpy() + np.diff(t)) for k, t in zip((6, 7), total, strict=True))], names=b.schema.names)
 
     return rows.mapInArrow(run, _ADDED)
 
