@@ -1,7 +1,8 @@
 """Quality: supervised subword embeddings, averaged per document, with a softmax output.
 
-A document's features are its white-space separated words, its pairs of neighbouring words and its character n-grams (2
-and 3 code points), hashed into buckets. Each bucket has a learned vector; the mean of a document's vectors goes through
+A document's features are its white-space separated words, its pairs of neighbouring words (all pairs of a word with itself
+are one feature, so that repetition shows whatever the word) and its character n-grams (2 and 3 code points), hashed into
+buckets. Each bucket has a learned vector; the mean of a document's vectors goes through
 a softmax layer. Both are trained by stochastic gradient descent, a document a step. The softmax of two classes depends
 on the vectors only through their product with the difference of the two output rows, so scoring keeps one number a
 bucket.
@@ -55,7 +56,7 @@ def _buckets(some: list[str], p: QualityParams) -> Iterator[tuple[np.ndarray, np
     words = textkit.word_hashes(joint, first, end)
     doc = np.searchsorted(begins, first, "right") - 1
     yield doc, (words >> np.uint64(64 - p.bits)).astype(np.int32)
-    pair = textkit.mix(words[:-1] * np.uint64(3) + words[1:]) >> np.uint64(64 - p.bits)
+    pair = np.where(words[:-1] == words[1:], np.uint64(0), textkit.mix(words[:-1] * np.uint64(3) + words[1:]) >> np.uint64(64 - p.bits))
     same = doc[:-1] == doc[1:]
     yield doc[1:][same], pair[same].astype(np.int32)
 

@@ -33,7 +33,10 @@ def grams(text, orders, bits):
 
 
 def word_hash(word):
-    return mix((sum((b + 1) * pow(BASE, i, 1 << 64) for i, b in enumerate(word)) + len(word) * MIX1) & M)
+    h = mix((len(word) + 1) * BASE & M)
+    for at in range(0, len(word), 8):
+        h = mix(((h ^ int.from_bytes(word[at : at + 8], "little")) * MIX1 + BASE) & M)
+    return mix(h)
 
 
 def sigmoid(x):
@@ -51,7 +54,7 @@ def corpus():
 def plain_quality(texts, labels, p):
     def features(t):
         ws = [word_hash(w) for w in t.encode().split()]
-        pairs = [mix((a * 3 + b) & M) >> (64 - p.bits) for a, b in zip(ws, ws[1:], strict=False)]
+        pairs = [0 if a == b else mix((a * 3 + b) & M) >> (64 - p.bits) for a, b in zip(ws, ws[1:], strict=False)]
         return Counter(grams(t, p.orders, p.bits) + [w >> (64 - p.bits) for w in ws] + pairs)
 
     rng = np.random.default_rng(p.seed)
