@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -160,6 +160,26 @@ def _similarities(metric: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.divide(out, length, out=np.full_like(out, np.nan), where=length > 0)
 
 
+FOUND = "query_id long, vec_id long, similarity double"
+
+
+def best_of(metric: str, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For a group of vectors and one of queries (id, v): the k vectors that are nearest to each query, ties by id."""
+
+    def best(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if vs.empty or qs.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        vs = vs.sort_values("id")
+        v, q = np.stack(vs["v"]), np.stack(qs["v"])
+        sims = _similarities(metric, v, q)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(sims, order, axis=1)
+        out = pd.DataFrame({"query_id": np.repeat(qs["id"].to_numpy(), order.shape[1]), "vec_id": vs["id"].to_numpy()[order].reshape(-1), "similarity": near.reshape(-1)})
+        return out[out["similarity"].notna()]
+
+    return best
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 8192) -> DataFrame:
     """Exact nearest vectors of a stated set of queries (query_id, query): every block of vectors meets every block of queries
     in a group of its own, as a product of two matrices, and the best k a query and block are ranked together.
@@ -176,18 +196,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
     left = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumns(counts).withColumn("vb", deal("id", "_nv")).withColumn("qb", every("_nq")).drop("_nv", "_nq")
     right = queries.select(F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")).withColumns(counts).withColumn("qb", deal("id", "_nq")).withColumn("vb", every("_nv")).drop("_nv", "_nq")
 
-    def best(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if vs.empty or qs.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-        vs = vs.sort_values("id")
-        v, q = np.stack(vs["v"]), np.stack(qs["v"])
-        sims = _similarities(metric, v, q)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(sims, order, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(qs["id"].to_numpy(), order.shape[1]), "vec_id": vs["id"].to_numpy()[order].reshape(-1), "similarity": near.reshape(-1)})
-        return out[out["similarity"].notna()]
-
-    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(best, "query_id long, vec_id long, similarity double")
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(best_of(metric, k), FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

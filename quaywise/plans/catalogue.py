@@ -1,5 +1,5 @@
 """All registered demand queries and their SQL."""
 
-from quaywise.plans import queries, warehouse  # noqa: F401  the second adds to the first
+from quaywise.plans import queries, search, warehouse  # noqa: F401  the others add to the first
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
