@@ -26,7 +26,6 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from quaywise.llm.tables import dropped, stored, text_of
 
 VOCABULARY, MODEL = token_counts.VOCABULARY, "piece_bpe_32k.model"
 #: Windows that a Python worker holds, pairs of a row of partial counts, and pairs of a slice of the counts.
-HELD, ROW_PAIRS, SLICE = 300_000, 50_000, 2_000_000
+HELD, ROW_PAIRS, SLICE = 200_000, 50_000, 2_000_000
 #: Characters from which a text is given to SentencePiece in parts.
 LONG = 100_000
 
@@ -96,8 +95,8 @@ class Aligner:
     """The memo of a worker: what each pair of id tuples holds."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
-        self.sizes_a, self.sizes_b = ([len(x) for x in t] for t in (a_bytes, b_bytes))
-        self.size_a, self.size_b = np.array(self.sizes_a, np.int64), np.array(self.sizes_b, np.int64)
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
+        self.names = np.array([[f"{i}{sign}" for t in (a_bytes, b_bytes) for i in range(len(t))] for sign in (",", "|", ";", "")], dtype=object)
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in t]) for t in (a_bytes, b_bytes))
         self.clear()
 
@@ -108,25 +107,28 @@ class Aligner:
         self.n_links: list[int] = []
         self.links = array("q")  # of all entries, one behind the other, as a << 32 | b
 
-    def _add(self, a: list[int], b: list[int]) -> None:
-        """Aligns the tokens of a window, which begin and end together."""
-        before = len(self.links)
-        ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, a))), list(accumulate(map(self.sizes_b.__getitem__, b)))
-        at = dict(zip(ends_b, range(1, len(b) + 1), strict=True))
-        cuts = [(i, at[e]) for i, e in enumerate(ends_a, 1) if e in at]
-        i = j = 0
-        for e in sorted({*ends_a, *ends_b}):  # between two neighbours of all ends lies one token of each: these overlap
-            self.links.append(a[i] << 32 | b[j])
-            i, j = i + (ends_a[i] == e), j + (ends_b[j] == e)
-        self.n_groups.append(len(cuts))
-        self.n_links.append(len(self.links) - before)
-        a, b = list(map(str, a)), list(map(str, b))
-        i = j = 0
-        out = []
-        for x, y in cuts:
-            out.append(",".join(a[i:x]) + "|" + ",".join(b[j:y]))
-            i, j = x, y
-        self.groups.append(";".join(out))
+    def _add(self, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> None:
+        """Aligns new windows, whose ids lie one behind the other; the sizes are their numbers of tokens."""
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        window_ends = ends_a[np.cumsum(size_a) - 1]
+        links, link_ends = _links(a, ends_a, b, ends_b)
+        self.links.frombytes(links.tobytes())
+        self.n_links += np.diff(np.searchsorted(link_ends, window_ends, "right"), prepend=0).tolist()
+        group_ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        self.n_groups += np.diff(np.searchsorted(group_ends, window_ends, "right"), prepend=0).tolist()
+        # Tokens by group, in it those of A first; what stands behind each: , within a side, | between the sides, ; between groups.
+        side = np.concatenate([2 * np.searchsorted(group_ends, ends_a), 2 * np.searchsorted(group_ends, ends_b) + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        sign = np.where(side[1:] == side[:-1], 0, np.where(side[1:] % 2 == 1, 1, 2))
+        cuts = np.cumsum(size_a + size_b)
+        sign = np.append(sign, 3)
+        sign[cuts - 1] = 3
+        written = self.names[sign, np.concatenate([a, b + np.uint32(len(self.size_a))])[order]].tolist()
+        at = 0
+        for end in cuts.tolist():
+            self.groups.append("".join(written[at:end]))
+            at = end
 
     def windows(self, a: list[np.ndarray], b: list[np.ndarray]) -> Windows:
         """The windows of documents whose tokens cover the same bytes; their ids as arrays of 32 bits."""
@@ -142,19 +144,28 @@ class Aligner:
         anchor = (after_a & after_b) | last_of_doc[at_a]
         to_a, to_b = at_a[anchor] + 1, at_b[anchor] + 1
         raw_a, raw_b = flat_a.astype(np.uint32).tobytes(), flat_b.astype(np.uint32).tobytes()
-        memo, entries, i, j = self.memo, [], 0, 0
+        memo, entries, new, n, i, j = self.memo, [], [], 0, 0, 0
         for x, y in zip((to_a * 4).tolist(), (to_b * 4).tolist(), strict=True):
             key = raw_a[i:x] + _MARK + raw_b[j:y]
             entry = memo.get(key)
             if entry is None:
                 entry = memo[key] = len(memo)
-                self._add(flat_a[i // 4 : x // 4].tolist(), flat_b[j // 4 : y // 4].tolist())
+                new.append(n)
             entries.append(entry)
-            i, j = x, y
+            n, i, j = n + 1, x, y
+        if new:
+            self._add(*_taken(flat_a, to_a, new), *_taken(flat_b, to_b, new))
         starts = np.searchsorted(to_a, np.concatenate(([0], doc_ends[:-1])), "right")
         return Windows(np.array(entries, np.int64), starts)
 
 
+def _taken(ids: np.ndarray, to: np.ndarray, some: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some of the windows that end at the places `to`, one behind the other, and their numbers."""
+    sizes = np.diff(to, prepend=0)
+    first, size = (to - sizes)[some], sizes[some]
+    return ids[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)], size
+
+
 _FIRST = "doc_id long, a binary, b binary, n_groups long, n_links long, groups_sha256 string, pair array<long>, often array<long>"
 
 
@@ -204,7 +215,7 @@ def tokenised(docs: DataFrame, vocabulary: bytes, model: bytes) -> DataFrame:
             b_ids = sp.ids(texts)
             for i, t in enumerate(spaced):
                 raw = t.encode("utf-8", "surrogatepass")
-                if b"".join(map(bpe.bytes_of.__getitem__, a_ids[i].tolist())) != raw or b"".join(map(sp.bytes_of.__getitem__, b_ids[i].tolist())) != raw:
+                if bpe.fast.decode_bytes(a_ids[i].tolist()) != raw or b"".join(map(sp.bytes_of.__getitem__, b_ids[i].tolist())) != raw:
                     a_ids[i] = b_ids[i] = np.zeros(0, np.uint32)
             w = memo.windows(a_ids, b_ids)
             n = np.bincount(w.entries, minlength=max(len(memo.memo), len(counts)))

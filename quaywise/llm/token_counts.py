@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -80,8 +80,7 @@ class ByteBpe:
         self.chunk, self.overlap = chunk, min(overlap, chunk)
         self.special = added if special else {}
         self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.slow = Tokenizer.from_str(data.decode())
-        self.slow.encode_special_tokens = not special
+        self.data, self.plain = data, not special
         self.bytes_of = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
@@ -91,6 +90,13 @@ class ByteBpe:
         self.reach = max((len(s) for s in self.special), default=0)
         self.chunks = self.widened = 0
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The library's own encoder, which few workers need."""
+        library = Tokenizer.from_str(self.data.decode())
+        library.encode_special_tokens = self.plain
+        return library
+
     def whole(self, text: str) -> np.ndarray:
         """The ids of a text that is encoded at once."""
         self.chunks += 1
