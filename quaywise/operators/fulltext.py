@@ -35,11 +35,11 @@ WORD, ITEM = r"[\p{L}\p{N}]+", r'-?"[^"]*"|[^\s"]+'
 
 
 def stemmed(w: Column) -> Column:
-    """A lower-cased word without its ending; short words stay as they are."""
-    bare = F.regexp_replace(w, "é?e?r?s?$", "")
+    """A lower-cased word without its ending, if at least four letters stay."""
+    bare = F.regexp_replace(w, "^(.{4,}?)é?e?r?s?$", "$1")
     once = F.regexp_replace(bare, r"(.)\1$", "$1")
     plural = F.regexp_replace(F.regexp_replace(w, "aux$", "alx"), "x$", "")
-    return chain([(F.char_length(w) < 6, w), (F.endswith(w, F.lit("x")), plural)], once)
+    return chain([(F.char_length(w) < 5, w), (F.endswith(w, F.lit("x")), plural)], once)
 
 
 def terms(text: Column) -> Column:

@@ -64,14 +64,14 @@ def ivf_recall(spark, d):
 TYPED = r"""typed AS (SELECT item_id AS query_id, w[1] || ' ' || w[2] || ' ' || w[3] || ' OR "' || w[4] || ' ' || w[5] || '" -' || w[6] || ' or -"' || w[7] || ' ' || w[8] || '" ' || w[9] AS query_text
  FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM benchmark))"""
 _STOP = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS)
-_STEM = """CASE WHEN length(w) < 6 THEN w WHEN w LIKE '%x' THEN regexp_replace(regexp_replace(w, 'aux$', 'alx'), 'x$', '')
+_STEM = """CASE WHEN length(w) < 5 THEN w WHEN w LIKE '%x' THEN regexp_replace(regexp_replace(w, 'aux$', 'alx'), 'x$', '')
  WHEN length(b) > 1 AND right(b, 1) = substr(b, -2, 1) THEN left(b, length(b) - 1) ELSE b END"""
 POSTINGS = rf"""placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents)),
-terms AS MATERIALIZED (SELECT doc_id, place, {_STEM} AS term FROM (SELECT *, regexp_replace(w, 'é?e?r?s?$', '') AS b FROM placed WHERE w NOT IN ({_STOP})))"""
+terms AS MATERIALIZED (SELECT doc_id, place, {_STEM} AS term FROM (SELECT *, regexp_replace(w, '^(.{{4,}}?)é?e?r?s?$', '\1') AS b FROM placed WHERE w NOT IN ({_STOP})))"""
 MATCHES = rf"""{TYPED}, {POSTINGS},
 said AS (SELECT query_id, unnest(xs) AS said, generate_subscripts(xs, 1) AS item FROM (SELECT query_id, regexp_extract_all(lower(query_text), '-?"[^"]*"|[^\s"]+') AS xs FROM typed)),
 itemed AS (SELECT *, sum(CASE WHEN said = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY item) AS clause, said LIKE '-%' AS negated FROM said),
-asked AS (SELECT query_id, clause, item, negated, place, {_STEM} AS term FROM (SELECT *, regexp_replace(w, 'é?e?r?s?$', '') AS b
+asked AS (SELECT query_id, clause, item, negated, place, {_STEM} AS term FROM (SELECT *, regexp_replace(w, '^(.{{4,}}?)é?e?r?s?$', '\1') AS b
  FROM (SELECT query_id, clause, item, negated, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM (SELECT *, regexp_extract_all(said, '[\p{{L}}\p{{N}}]+') AS ws FROM itemed WHERE said <> 'or')) WHERE w NOT IN ({_STOP}))),
 words AS (SELECT *, max(place) OVER i - place AS behind, count(*) OVER i AS n FROM asked WINDOW i AS (PARTITION BY query_id, clause, item)),
 ends AS (SELECT query_id, clause, item, negated, doc_id, t.place + behind AS place FROM terms t JOIN words w USING (term) GROUP BY 1, 2, 3, 4, 5, 6, n HAVING count(DISTINCT (term, behind)) = n),
