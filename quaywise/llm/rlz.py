@@ -145,6 +145,7 @@ def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
 
     def anchors(table: pa.Table) -> pa.Table:
         found = np.unique(Block(table, window).anchors())
+        textkit.trim()
         return pa.table({"block": pa.repeat(table.column("block")[0], len(found)), "anchor": _signed(found)})
 
     kinds = [("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())] + [("start", pa.int64())] * where
@@ -160,6 +161,7 @@ def _looked_up(blocks: DataFrame, window: int, where: bool) -> DataFrame:
         a, b = block.seeds(starts)
         one = block.earliest(starts, a, b) == np.arange(len(starts))
         starts, a, b = starts[one], a[one], b[one]
+        textkit.trim()
         doc, place = block.doc[starts], (left.column("block")[0].as_py() << 32) + starts
         cols = [_signed(a), _signed(b), pa.array(block.ids[doc]), pa.array(place)]
         return pa.table(dict(zip([k for k, _ in kinds], cols + [pa.array(starts - block.begins[doc])] * where, strict=True)))
@@ -235,6 +237,7 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
         block = Block(left, window)
         starts = block.starts
         first = block.earliest(starts, *block.seeds(starts))
+        block.hashes = ()  # not needed any more
         copy, ref_at = first != np.arange(len(starts)), starts[first]
         ref_doc, ref_start = block.ids[block.doc[ref_at]], ref_at - block.begins[block.doc[ref_at]]
         if len(right):
@@ -255,7 +258,7 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
             for i, start, length in found:
                 d = block.doc[start]
                 lists[d].append({"start": int(start - block.begins[d]), "length": length, "ref_doc": int(ref_doc[i]), "ref_start": int(ref_start[i])})
-        left_over, digests = [], []
+        left_over, digests, order = [], [], block.order
         for i, d in enumerate(block.data):
             words = d.split()
             if n_removed[i]:
@@ -264,14 +267,16 @@ def parse(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), ke
             digests.append(hashlib.sha256(text).hexdigest())
             left_over.append(text.decode("utf-8", "surrogatepass") if kept else None)
         cols = {
-            "doc_id": left.column("doc_id").take(block.order),
+            "doc_id": left.column("doc_id").take(order),
             "n_words": pa.array(block.counts),
             "n_removed": pa.array(n_removed),
             "kept_sha256": pa.array(digests, pa.string()),
             "kept": pa.array(left_over, pa.string()),
             "factors": pa.array(lists if factors else [None] * len(lists), pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "ref_doc", "ref_start")]))),
         }
-        return pa.table(cols | {f.name: left.column(f.name).take(block.order) for f in extra})
+        del block, left_over, lists, gone, edge
+        textkit.trim()
+        return pa.table(cols | {f.name: left.column(f.name).take(order) for f in extra})
 
     return blocks.groupBy("block").cogroup(_looked_up(blocks, window, factors).groupBy("block")).applyInArrow(factored, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import xxhash
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bytes of a word that is hashed apart.
 LONG_WORD = 256
 
@@ -100,5 +103,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(h)
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system, as a Python worker lives on for the stages behind this one."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
