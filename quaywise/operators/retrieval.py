@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaywise.functions.scalar import all_of, chain, ratio, tokens
+from quaywise.sources import office
 
 # Words of a chunk and of its overlap with the next, the constant of rank fusion, weights, intents and their words.
 CHUNK, OVERLAP, RRF_K = 320, 64, 60
@@ -95,10 +96,8 @@ def chunked(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataF
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """source, doc_type and text of the files of a folder: text files whole, of others (and of what can't be decoded) no text."""
-    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("source"), kind.alias("doc_type"), F.when(kind.isin("txt", "md", "csv", "log"), F.try_validate_utf8(F.col("content").cast("string"))).otherwise("").alias("text"))
+    """source, doc_type, text and error of the files of a folder: text files and .docx whole, of others (and damaged ones) no text."""
+    return office.documents(office.files(spark, path))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaywise.operators import fulltext, retrieval, vector_index
 from quaywise.plans.queries import query, r, rounded
 from quaywise.session import read
+from quaywise.sources import office
 
 
 def _index_sql(rounds: int = vector_index.ROUNDS) -> str:
@@ -102,3 +103,12 @@ def fulltext_index(spark, d):
 @query(f"WITH {MATCHES} SELECT query_id, doc_id, {r('score')} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM scored QUALIFY rank <= 20")
 def fulltext_topk(spark, d):
     return rounded(fulltext.search(fulltext.postings(read(spark, d, "documents")), typed(spark, d), 20), "score")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal FROM customer")
+def office_rows(spark, d):
+    """The customers written as workbooks next to where they are, and read back from these."""
+    columns = ["c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"]
+    customers = read(spark, d, "customer").select(*columns)
+    rows = office.sheet_rows(office.workbooks(customers, rows=1000)).where("line > 1")
+    return office.table(rows, columns).select(*[F.col(c).cast(customers.schema[c].dataType).alias(c) for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quaywise.functions.scalar import SERVICES, safe_float, safe_int, safe_str, service_of, valid_msisdn, with_dates, year_month
 from quaywise.operators.series import latest
+from quaywise.sources import office
 
 # Alternatives for a column, first one present counts; columns that tell the kinds of files apart.
 CANDIDATES = {
@@ -54,8 +55,13 @@ def delimiter(head: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, head: str | None = None) -> DataFrame:
-    """A delimited file as strings with normalised headers; its head (4096 characters) is read through Spark unless given."""
+    """A delimited file, or the first sheet of a workbook, as strings with normalised headers.
+
+    The head of a delimited file (4096 characters) is read through Spark unless given; of a workbook the heading row is.
+    """
     suffix = Path(path).suffix.lower()
+    if suffix in (".xlsx", ".xlsm", ".xls"):
+        return _read_workbook(spark, path)
     if suffix not in (".csv", ".txt", ".tsv"):
         raise ValueError(f"files of type {suffix or 'none'} can't be read")
     if head is None:
@@ -67,6 +73,18 @@ def read_table(spark: SparkSession, path: str, head: str | None = None) -> DataF
     return df.select("*", line.alias(LINE)).toDF(*names, LINE)
 
 
+def _read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    rows = office.sheet_rows(office.files(spark, path))
+    top = rows.orderBy(F.col("error").isNull(), "line").first()
+    if top is None:
+        raise ValueError("the workbook has no rows")
+    if top.error:
+        raise ValueError(f"the workbook can't be read: {top.error}")
+    lines = office.table(rows.where(F.col("line") > top.line), [f"c{i}" for i in range(len(top.cells))])
+    place = F.struct(F.col("path").alias("file_path"), F.lit(0).cast("long").alias("file_block_start"), F.col("line").cast("long").alias("n"))
+    return lines.select(*[f"c{i}" for i in range(len(top.cells))], place.alias(LINE)).toDF(*map(header, office.headings(top.cells)), LINE)
+
+
 def kind_of(columns: list[str]) -> str:
     """stock_5g, stock, promotion or sales, by the columns that are there."""
     have = set(columns)
