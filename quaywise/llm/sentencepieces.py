@@ -27,6 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaywise.llm import textkit
 from quaywise.llm.tables import text_of
 
 SPACE, PENALTY = "▁", 10.0
@@ -143,7 +144,11 @@ def encoded(docs: DataFrame, model: Pieces | None = None, text: str = "text", na
                 got = [codec.encode(t) for t in batch.slice(at, SLICE).to_pylist()]
                 sizes += map(len, got)
                 parts.append(np.concatenate(got))
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(parts)))
+            values = np.concatenate(parts)
+            parts.clear()
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(values))
+            del values
+            textkit.trim()
 
     return docs.withColumn(name, ids(text_of(text)))
 
