@@ -1,8 +1,8 @@
 """Linear regression on the feature frame of every series at once: sums of products, solved as columns, forecasts as folds.
 
-A series' frame has its trend, the month as a sine and a cosine, its values 1, 2, 3 and 12 months before and the means of
-the 6 and 12 before; where there are fewer months before, what is missing is the mean of those that are there. Values are
-taken over the series' mean, so that all features are of one size.
+A series' frame has its trend, the month as a sine and a cosine (to 12 digits, so that months of one sine are equal), its
+values 1, 2, 3 and 12 months before and the means of the 6 and 12 before; where there are fewer months before, what is
+missing is the mean of those that are there. Values are taken over the series' mean, so that all features are of one size.
 
 The normal equations are sums over pairs of features, one aggregation for all series, pre-aggregated in each task. They are
 solved in column functions (Gauss-Jordan on an array of rows, a very small ridge on the diagonal). Forecasts are a fold
@@ -16,6 +16,7 @@ LEAST months, or without any sales, has no forecast; `unfit` says so, a row each
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,7 +32,7 @@ LEAST, BEFORE, MEMORY, RIDGE = 15, 3, 12, 1e-6
 
 def _features(t: Column, month: Column, lag: dict[int, Column], means: dict[int, Column]) -> list[Column]:
     angle = month.cast("double") * F.lit(2 * math.pi / 12)
-    return [F.lit(1.0), t, F.sin(angle), F.cos(angle), *(F.coalesce(lag[n], means[12]) for n in (1, 2, 3, 12)), means[6], means[12]]
+    return [F.lit(1.0), t, F.round(F.sin(angle), 12), F.round(F.cos(angle), 12), *(F.coalesce(lag[n], means[12]) for n in (1, 2, 3, 12)), means[6], means[12]]
 
 
 def frame(series: DataFrame, keys: list[str], value: str = "y") -> DataFrame:
@@ -73,15 +74,21 @@ def _dot(coef: Column, x: list[Column]) -> Column:
     return out
 
 
-def _ahead(steps: int) -> Column:
-    """The predictions of so many steps from coef, last (values before, the newest last), n and month (of the last date)."""
+def memory(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, scale, last (the newest MEMORY values in order) and last_date of every series of a frame."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"])
+    return rows.where(F.col("i") >= F.col("n") - MEMORY).groupBy(*keys).agg(F.max("n").alias("n"), F.max("scale").alias("scale"), ordered.alias("last"), F.max("date").alias("last_date"))
+
+
+def folded(steps: int, model: Callable[[list[Column]], Column]) -> Column:
+    """The predictions of so many steps by a model of the features, from last (values before, the newest last), n and month (of the last date)."""
     start = F.struct(F.col("last").alias("last"), F.array().cast("array<double>").alias("out"))
 
     def step(s: Column, k: Column) -> Column:
         mean = lambda n: F.aggregate(F.slice(s["last"], F.greatest(F.size(s["last"]) - n + 1, F.lit(1)), F.lit(n)), F.lit(0.0), lambda a, v: a + v) / F.least(F.size(s["last"]), F.lit(n))
         x = _features((F.col("n") + k - 1) / F.col("n"), (F.col("month") + k - 1) % 12 + 1, {n: F.get(s["last"], F.size(s["last"]) - n) for n in (1, 2, 3, 12)}, {n: mean(n) for n in (6, 12)})
         joined = lambda v: F.struct(F.slice(F.concat(s["last"], F.array(v)), F.greatest(F.size(s["last"]) + 2 - MEMORY, F.lit(1)), F.lit(MEMORY)).alias("last"), F.concat(s["out"], F.array(v)).alias("out"))
-        return F.transform(F.array(F.greatest(F.lit(0.0), _dot(F.col("coef"), x))), joined)[0]
+        return F.transform(F.array(F.greatest(F.lit(0.0), model(x))), joined)[0]
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["out"])
 
@@ -90,10 +97,10 @@ def forecast(series: DataFrame, keys: list[str], steps: int, value: str = "y") -
     """keys, step, date, yhat and sigma (deviation of the fit, population, 1 at least) for every series that can be fitted."""
     rows = frame(series, keys, value)
     coefs = coefficients(rows, keys)
-    recent = rows.where(F.col("i") >= F.col("n") - MEMORY).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("last"), F.max("date").alias("last_date"))
+    recent = memory(rows, keys).drop("n", "scale")
     missed = F.col("v") - _dot(F.col("coef"), [F.col("x")[i] for i in range(len(FEATURES))])
     fit = rows.where(F.col("i") >= BEFORE).join(coefs.select(*keys, "coef"), keys).groupBy(*keys).agg(F.greatest(F.stddev_pop(missed * F.col("scale")), F.lit(1.0)).alias("sigma"))
-    out = coefs.join(recent, keys).join(fit, keys).withColumn("month", F.month("last_date")).withColumn("ahead", _ahead(steps))
+    out = coefs.join(recent, keys).join(fit, keys).withColumn("month", F.month("last_date")).withColumn("ahead", folded(steps, lambda x: _dot(F.col("coef"), x)))
     out = out.select(*keys, "scale", "sigma", "last_date", F.posexplode("ahead").alias("_k", "_v"))
     return out.select(*keys, (F.col("_k") + 1).alias("step"), F.add_months(F.trunc("last_date", "MM"), F.col("_k") + 1).alias("date"), (F.col("_v") * F.col("scale")).alias("yhat"), "sigma")
 

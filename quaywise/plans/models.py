@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaywise.operators import forecast, regression, series
+from quaywise.operators import boosting, forecast, regression, series
 from quaywise.plans.queries import GAPPED, K, part_monthly, query, rounded
 
 
@@ -43,3 +43,27 @@ def regression_scores(spark, d):
 def regression_unfit(spark, d):
     """The series that are too short for a regression, as rows with the reason."""
     return regression.unfit(monthly_parts(spark, d), K)
+
+
+#: Trees and their weight in the registered queries: fewer and larger steps than the library's default.
+TREES, RATE = 6, 0.3
+
+
+def boosted(spark, d):
+    """The frame of all series and the model that is fitted to it."""
+    rows = regression.frame(monthly_parts(spark, d), K)
+    return rows, boosting.fit(rows, K, TREES, RATE)
+
+
+@query()
+def boosted_forecast(spark, d):
+    rows, model = boosted(spark, d)
+    return rounded(boosting.forecast(model, rows, K, 6), "yhat")
+
+
+@query()
+def boosted_importance(spark, d):
+    """The features that the trees gain most by, with their share of the mean gains in percent."""
+    _, model = boosted(spark, d)
+    rows = spark.createDataFrame([("all", *x) for x in boosting.importances(model)], "k string, feature string, importance double, splits int")
+    return rounded(forecast.importances(rows, K), "importance", "normalized_importance").drop("k")

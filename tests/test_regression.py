@@ -15,7 +15,7 @@ def features(v, i, n, month):
     before = v[:i]
     mean = lambda k: sum(before[-k:]) / len(before[-k:])
     lag = lambda k: v[i - k] if i >= k else mean(12)
-    return [1.0, i / n, math.sin(2 * math.pi * month / 12), math.cos(2 * math.pi * month / 12), lag(1), lag(2), lag(3), lag(12), mean(6), mean(12)]
+    return [1.0, i / n, round(math.sin(2 * math.pi * month / 12), 12), round(math.cos(2 * math.pi * month / 12), 12), lag(1), lag(2), lag(3), lag(12), mean(6), mean(12)]
 
 
 def plain(rows, steps):
