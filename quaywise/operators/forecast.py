@@ -45,16 +45,16 @@ def available() -> list[str]:
 def service_asked(asked: str | None, detected: str | None, known: DataFrame) -> str | None:
     """The service to forecast: the one asked for, else the one that an upload was detected to be of, else None for all.
 
-    known: service_code, one row a service, as many as there are services. An unknown one that was asked for is an error.
+    known: service_code. An unknown one that was asked for is an error.
     """
-    codes = {r[0] for r in known.select(F.upper(F.trim("service_code"))).distinct().collect()}
+    has = lambda code: not known.where(F.upper(F.trim("service_code")) == code).limit(1).isEmpty()
     code = (asked or "").strip().upper()
     if code:
-        if code not in codes | {"ALL", "*"}:
+        if code not in ("ALL", "*") and not has(code):
             raise ValueError(f"there are no sales of the service {code}")
         return None if code in ("ALL", "*") else code
     code = (detected or "").strip().upper()
-    return code if code in codes else None
+    return code if code and has(code) else None
 
 
 def effective_model(model: str, n: Column, season: int = 12) -> Column:

@@ -107,9 +107,11 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def ingested(store: DataFrame, docs: DataFrame) -> DataFrame:
     """The store of chunks (source, chunk_index, service, chunk, doc_type) with those of new documents (doc_id, source, text,
-    service, doc_type): of one source, index and service the new chunk stays. Documents without text add nothing."""
-    new = chunked(docs).join(docs.select("doc_id", F.upper(F.coalesce("service", F.lit("MULTI"))).alias("service"), "doc_type"), "doc_id").select("source", "chunk_index", "service", "chunk", "doc_type")
-    new = new.dropDuplicates(["source", "chunk_index", "service"])
+    service, doc_type): of one source, index and service the new chunk stays, of several new ones that of the smallest
+    doc_id. Documents without text add nothing."""
+    new = chunked(docs).join(docs.select("doc_id", F.upper(F.coalesce("service", F.lit("MULTI"))).alias("service"), "doc_type"), "doc_id").select("source", "chunk_index", "service", "chunk", "doc_type", "doc_id")
+    per = W.partitionBy("source", "chunk_index", "service").orderBy("doc_id")
+    new = new.withColumn("_n", F.row_number().over(per)).where("_n = 1").drop("_n", "doc_id")
     return store.join(new, ["source", "chunk_index", "service"], "left_anti").select(new.columns).unionByName(new)
 
 

@@ -92,7 +92,7 @@ def stock_position(spark, d):
 # series and feature frames
 
 SERIES = f"""{STAR}, mart AS (SELECT service_code, CAST(date_trunc('month', sale_date) AS DATE) AS date, region_key, {SALES_MEASURES.format(pct=PCT, price='avg(price)')} FROM star GROUP BY 1, 2, 3),
-agg AS (SELECT service_code, date, min(region_key) AS region_key, sum(nb_ventes)::DOUBLE AS nb_ventes, avg(nb_dealers_actifs) AS nb_dealers_actifs, sum(nb_ventes_promo)::DOUBLE AS nb_ventes_promo, avg(prix_moyen) AS prix_moyen FROM mart WHERE month(date) <> 5 GROUP BY 1, 2),
+agg AS (SELECT service_code, date, min(region_key) AS region_key, sum(nb_ventes)::DOUBLE AS nb_ventes, avg(nb_dealers_actifs) AS nb_dealers_actifs, sum(nb_ventes_promo)::DOUBLE AS nb_ventes_promo, avg(prix_moyen) AS prix_moyen FROM mart GROUP BY 1, 2),
 spine0 AS (SELECT service_code, CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE) AS date FROM agg GROUP BY 1),
 dense AS (SELECT s.service_code, s.date, coalesce(nb_ventes, 0.0) AS nb_ventes, coalesce(nb_dealers_actifs, 0.0) AS nb_dealers_actifs, coalesce(nb_ventes_promo, 0.0) AS nb_ventes_promo, coalesce(prix_moyen, 0.0) AS prix_moyen,
  coalesce(last_value(region_key IGNORE NULLS) OVER (PARTITION BY s.service_code ORDER BY s.date), first_value(region_key IGNORE NULLS) OVER (PARTITION BY s.service_code ORDER BY s.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'UNKNOWN') AS region_key,
@@ -101,8 +101,8 @@ FLOATS = ("nb_dealers_actifs", "prix_moyen", "pct_ventes_promo")
 
 
 def dense(spark, d):
-    """Monthly sales of every service, in which the month of May is missing and filled again."""
-    mart = marts.fine_mart(star(spark, d).withColumn("sale_date", F.trunc("sale_date", "MM")), "day", "price", ("service_code", "region_key")).where(F.month("date") != 5)
+    """Monthly sales of every service, without gaps."""
+    mart = marts.fine_mart(star(spark, d).withColumn("sale_date", F.trunc("sale_date", "MM")), "day", "price", ("service_code", "region_key"))
     by = mart.groupBy("service_code", "date").agg(F.min("region_key").alias("region_key"), F.sum("nb_ventes").alias("nb_ventes"), F.avg("nb_dealers_actifs").alias("nb_dealers_actifs"), F.sum("nb_ventes_promo").alias("nb_ventes_promo"), F.avg("prix_moyen").alias("prix_moyen"), F.lit(0.0).alias("pct_ventes_promo"))
     return series.dense_sales(by, ["service_code"])
 
