@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaywise.operators import boosting, forecast, regression, series
+from quaywise.operators import anomaly, boosting, forecast, forest, marts, regression, series
 from quaywise.plans.queries import GAPPED, K, part_monthly, query, rounded
 
 
@@ -67,3 +67,15 @@ def boosted_importance(spark, d):
     _, model = boosted(spark, d)
     rows = spark.createDataFrame([("all", *x) for x in boosting.importances(model)], "k string, feature string, importance double, splits int")
     return rounded(forecast.importances(rows, K), "importance", "normalized_importance").drop("k")
+
+
+def part_prices(spark, d):
+    """Monthly quantities and prices of every offer and region, decomposed."""
+    rows = marts.sales(spark, d).groupBy(F.concat_ws("|", "offer_code", "region_label").alias("k"), F.trunc("sale_date", "MM").alias("date")).agg(F.sum("qty").alias("y"), F.avg("price").alias("price"))
+    return anomaly.decomposed(rows, K, "y")
+
+
+@query()
+def forest_anomalies(spark, d):
+    found = forest.isolated(part_prices(spark, d), K, "y", "price", "residual")
+    return rounded(found, "forest_score", "z", "expected", "variance_pct").select("k", "date", "y", "forest_score", "z", "expected", "variance_pct", "anomaly_type", "severity")
