@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 
+import uuid
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from quaywise.operators import numbering
 from quaywise.plans.queries import query
-from quaywise.session import read
+from quaywise.session import read, shared_folder
+from quaywise.sources.stores import Store
 
 LINES = "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS row_number FROM lineitem"
 
@@ -41,3 +47,18 @@ UNION ALL SELECT 'lineitem', 'l_promotion', false, NULL UNION ALL SELECT 'docume
 def column_presence(spark, d):
     tables = {n: read(spark, d, n) for n in ("lineitem", "documents")} | {"warehouse": numbering.there(spark, "warehouse")}
     return numbering.presence(tables, EXPECTED)
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_shipdate, l_extendedprice, l_discount, l_tax) AS i FROM lineitem)
+SELECT l_orderkey, l_partkey, arg_min(l_suppkey, i) AS l_suppkey, arg_max(l_quantity, i) AS l_quantity, l_orderkey % 8 AS bucket FROM t GROUP BY 1, 2"""
+)
+def stored_sales(spark, d):
+    """All lines loaded into a new store in the shared folder: first lines of an order and part, then what comes later; one load is repeated."""
+    place = W.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice", "l_discount", "l_tax")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_orderkey") % 8).alias("bucket"), F.row_number().over(place).alias("seq"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("seq").schema.fields)
+    store = Store(f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", schema, "bucket", ("l_orderkey", "l_partkey", "bucket"), ("l_quantity",))
+    for name, part in (("first", "seq = 1"), ("later", "seq > 1"), ("first", "seq = 1")):
+        store.load(rows.where(part), name)
+    return store.table(spark)
