@@ -286,10 +286,13 @@ def duplicate_spans(docs: DataFrame, **how: object) -> DataFrame:
     return parse(docs, factors=True, **how).select("doc_id", F.inline("factors"))
 
 
-def deduplicated(docs: DataFrame, **how: object) -> DataFrame:
-    """docs with their texts replaced by what no factor covers; all rows and columns stay (n_chars is counted anew if there)."""
+def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES // 2, **how: object) -> DataFrame:
+    """docs with their texts replaced by what no factor covers; all rows and columns stay (n_chars is counted anew if there).
+
+    Blocks are half as large as those of `removal`, as a task holds the texts that are left and the other columns as well.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = parse(docs, carry=others, kept=True, **how)
+    rows = parse(docs, carry=others, kept=True, block_bytes=block_bytes, **how)
     rows = rows.select("doc_id", F.col("kept").alias("text"), *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(others)])
     if "n_chars" in others:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -105,6 +105,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def trim() -> None:
     """Gives memory that was freed back to the system, as a Python worker lives on for the stages behind this one."""
+    pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
