@@ -1,5 +1,5 @@
 """All registered demand queries and their SQL."""
 
-from quaywise.plans import models, queries, search, streams, structure, warehouse  # noqa: F401  the others add to the first
+from quaywise.plans import history, models, queries, search, streams, structure, warehouse  # noqa: F401  the others add to the first
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
