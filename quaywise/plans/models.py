@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaywise.operators import anomaly, boosting, forecast, forest, marts, regression, series
-from quaywise.plans.queries import GAPPED, K, part_monthly, query, rounded
+from quaywise.operators import anomaly, boosting, forecast, forest, marts, regression, series, stock_forecast
+from quaywise.plans.queries import GAPPED, K, part_monthly, query, r, rounded
 
 
 def monthly_parts(spark, d):
@@ -79,3 +79,32 @@ def part_prices(spark, d):
 def forest_anomalies(spark, d):
     found = forest.isolated(part_prices(spark, d), K, "y", "price", "residual")
     return rounded(found, "forest_score", "z", "expected", "variance_pct").select("k", "date", "y", "forest_score", "z", "expected", "variance_pct", "anomaly_type", "severity")
+
+
+def _pipeline_sql() -> str:
+    return f"""{GAPPED}, p AS (SELECT k, date, coalesce(y, 0.0)::DOUBLE AS y, row_number() OVER (PARTITION BY k ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM gapped),
+l AS (SELECT k, n, max(date) AS last, arg_max(y, date) AS ly FROM p GROUP BY k, n),
+ah AS (SELECT l.k, g.s AS step, CAST(last + to_months(g.s::INT) AS DATE) AS date, CASE WHEN l.n >= 12 THEN 'seasonal_naive' ELSE 'naive_last' END AS model, coalesce(p.y, ly) AS yhat FROM l CROSS JOIN generate_series(1, 6) AS g(s) LEFT JOIN p ON p.k = l.k AND l.n >= 12 AND p.i = l.n - 13 + g.s WHERE l.n >= 2),
+each_ AS (SELECT *, 1.28::DOUBLE * greatest(1.0::DOUBLE, stddev_pop(yhat) OVER (PARTITION BY k)) AS w FROM ah),
+total AS (SELECT date, sum(yhat) AS yhat FROM ah GROUP BY date), all_ AS (SELECT *, 1.28::DOUBLE * greatest(1.0::DOUBLE, stddev_pop(yhat) OVER ()) AS w, row_number() OVER (ORDER BY date) AS step FROM total)"""
+
+
+@query(
+    f"""WITH {_pipeline_sql()}
+SELECT 'per_family' AS scope, k, step, date, {r("yhat")} AS yhat, {r("greatest(0.0, yhat - w)")} AS lower, {r("yhat + w")} AS upper, model, CASE WHEN model <> 'seasonal_naive' THEN 'seasonal_naive' END AS downgraded_from, NULL AS reason FROM each_
+UNION ALL SELECT 'global', NULL, step, date, {r("yhat")}, {r("greatest(0.0, yhat - w)")}, {r("yhat + w")}, 'seasonal_naive', NULL, NULL FROM all_
+UNION ALL SELECT 'failed', k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'only ' || n || ' months of 2' FROM l WHERE n < 2"""
+)
+def stock_pipeline(spark, d):
+    """Forecasts of all series, of their sum, and the series without one."""
+    return rounded(stock_forecast.pipeline(monthly_parts(spark, d), K, "y", 6), "yhat", "lower", "upper")
+
+
+@query(
+    f"""WITH {_pipeline_sql()}, c AS (SELECT count(*) FILTER (n >= 2) AS n_forecast, count(*) FILTER (n < 2) AS n_failed FROM l),
+h AS (SELECT date, sum(y) AS y FROM p WHERE n >= 2 GROUP BY date), e AS (SELECT (SELECT arg_max(yhat, date) FROM total) AS ahead, (SELECT arg_max(y, date) FROM h) AS last)
+SELECT n_forecast, n_failed, n_failed > 0 AS partial_results, {r("coalesce((ahead - last) * 100 / greatest(1.0::DOUBLE, last), 0.0)")} AS change_pct, CASE WHEN coalesce(ahead - last, 0) >= 0 THEN 'hausse' ELSE 'baisse' END AS trend FROM c, e"""
+)
+def stock_pipeline_summary(spark, d):
+    rows = monthly_parts(spark, d)
+    return rounded(stock_forecast.summary(stock_forecast.pipeline(rows, K, "y", 6), rows, K, "y"), "change_pct")
