@@ -13,8 +13,9 @@ A document's rank is the sum over its covers: the shortest stretches that hold e
 (none inside another), each 0.1 over 1 plus the number of places in it that are none of the query's (where several items lie at one place and
 that number would be negative, half of what it holds behind its first); alternatives add up. A phrase counts at its last word. Places aren't capped, so long documents are ranked by all of their text.
 
-The words of the queries meet the index in an equi-join, whose smaller side the planner broadcasts if its size allows it; a
-group after it is one document's places for one query, however frequent a word is.
+Only words that some query has are grouped by documents. An alternative meets the documents that hold the rarest of its words,
+in an equi-join whose smaller side the planner broadcasts if its size allows it; all else is looked up in the places of one
+document, however frequent a word is.
 """
 
 from __future__ import annotations
@@ -50,10 +51,13 @@ def terms(text: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(stemmed(x["w"]).alias("term"), x["place"].alias("place")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """The inverted index of documents (doc_id, text): term, doc_id and the ordered places of the term. Rows of one id are one
-    document whose texts have their places side by side; null texts have no terms."""
+    document whose texts have their places side by side; null texts have no terms. Given queries, only their terms are in it."""
     rows = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("t")).select("doc_id", "t.term", "t.place")
+    if queries is not None:
+        rows = rows.join(parsed(queries).select("term").distinct(), "term", "left_semi")
+    rows = rows.repartition("term", "doc_id")  # lists grow on one side of the shuffle only
     return rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
@@ -107,16 +111,25 @@ def _density(places: Column, items: Column) -> Column:
 
 def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id and score of every document that meets a query."""
-    asked = parsed(queries)
-    needed = asked.where(~F.col("negated")).groupBy("query_id", "clause").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = index.join(asked, "term").select("query_id", "clause", "item", "negated", "words", "term", "behind", "doc_id", F.explode("places").alias("place"))
-    # Places of a whole item: its words, each as far before the last one as in the query.
-    ends = hits.groupBy("query_id", "clause", "item", "negated", "words", "doc_id", (F.col("place") + F.col("behind")).alias("place")).agg(F.count_distinct("term", "behind").alias("met"))
-    ends = ends.where(F.col("met") == F.col("words")).join(needed, ["query_id", "clause"])
-    at = F.struct(F.col("place"), (F.array_position("items", F.col("item")) - 1).cast("int").alias("item"))
-    docs = ends.groupBy("query_id", "clause", "items", "doc_id").agg(F.bool_or("negated").alias("out"), F.array_sort(F.collect_list(F.when(~F.col("negated"), at))).alias("places"))
-    found = docs.where(~F.col("out") & (F.size(F.array_distinct(F.transform("places", lambda x: x["item"]))) == F.size("items")))
-    return found.select("query_id", "doc_id", _density(F.col("places"), F.size("items")).alias("score")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    word = F.struct("term", "behind")
+    items = parsed(queries).groupBy("query_id", "clause", "item", "negated").agg(F.collect_set(word).alias("words"))
+    one = F.when(~F.col("negated"), F.struct("item", "words"))
+    clauses = items.groupBy("query_id", "clause").agg(F.array_sort(F.collect_list(one)).alias("items"), F.collect_list(F.when(F.col("negated"), F.col("words"))).alias("not")).where(F.size("items") > 0)
+    # `places` is asked for wherever the index is read, so that it is computed once
+    rows = index.where(F.size("places") > 0)
+    needed = clauses.select("query_id", "clause", F.explode(F.array_distinct(F.flatten(F.transform("items", lambda x: F.transform(x["words"], lambda w: w["term"]))))).alias("term"))
+    often = rows.join(needed.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("places")).alias("often"))
+    rarest = needed.join(often, "term", "left").groupBy("query_id", "clause").agg(F.min_by("term", F.struct(F.coalesce("often", F.lit(0)), F.col("term"))).alias("term"))
+    found = rows.select("term", "doc_id").join(rarest.join(clauses, ["query_id", "clause"]), "term").drop("term")
+    bags = rows.join(parsed(queries).select("term").distinct(), "term", "left_semi").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    # Places of a whole item: those of its last word that its other words lie before as in the query.
+    ends = lambda words: F.transform(words, lambda w: F.transform(F.col("at")[w["term"]], lambda p: p + w["behind"]))
+    whole = lambda words: F.coalesce(F.aggregate(ends(words), F.element_at(ends(words), 1), F.array_intersect), F.array().cast("array<int>"))
+    met = found.join(bags, "doc_id").where(F.forall("items", lambda x: F.forall(x["words"], lambda w: F.map_contains_key("at", w["term"]))))
+    met = met.select("query_id", "doc_id", F.transform("items", lambda x: whole(x["words"])).alias("places"), F.exists("not", lambda words: F.size(whole(words)) > 0).alias("out"))
+    met = met.where(~F.col("out") & F.forall("places", lambda x: F.size(x) > 0))
+    at = F.array_sort(F.flatten(F.transform("places", lambda x, i: F.transform(x, lambda p: F.struct(p.cast("int").alias("place"), i.alias("item"))))))
+    return met.select("query_id", "doc_id", _density(at, F.size("places")).alias("score")).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

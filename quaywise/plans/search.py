@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaywise.operators import fulltext, retrieval, vector_index
 from quaywise.plans.queries import query, r, rounded
-from quaywise.session import read
+from quaywise.session import cut, read
 from quaywise.sources import office
 
 
@@ -102,7 +102,8 @@ def fulltext_index(spark, d):
 
 @query(f"WITH {MATCHES} SELECT query_id, doc_id, {r('score')} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM scored QUALIFY rank <= 20")
 def fulltext_topk(spark, d):
-    return rounded(fulltext.search(fulltext.postings(read(spark, d, "documents")), typed(spark, d), 20), "score")
+    asked = typed(spark, d)
+    return rounded(fulltext.search(cut(fulltext.postings(read(spark, d, "documents"), asked)), asked, 20), "score")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal FROM customer")

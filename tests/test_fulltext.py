@@ -141,3 +141,11 @@ def test_a_stored_index_gives_the_same(spark, tmp_path):
     again = ft.search(spark.read.parquet(str(tmp_path / "words")), queries)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, ft.search(index, queries).collect()))
     assert ft.search(index.where("1 = 0"), queries).collect() == []
+
+
+def test_searched_index_holds_the_words_of_queries_only(spark):
+    docs = spark.createDataFrame([(1, "rouge vert bleu"), (2, "rouge jaune rouge"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, 'rouge -"vert bleu"')], "query_id long, query_text string")
+    index = ft.postings(docs, queries)
+    assert sorted((r.term, r.doc_id, r.places) for r in index.collect()) == sorted((r.term, r.doc_id, r.places) for r in ft.postings(docs).where("term <> 'jaune' and term <> 'jaun'").collect())
+    assert [(r.query_id, r.doc_id) for r in ft.search(index, queries).collect()] == [(7, 2)]
