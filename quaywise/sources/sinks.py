@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 def upserted(current: DataFrame, incoming: DataFrame, key: list[str], replaced: list[str], order: str = "seq") -> DataFrame:
     """The current rows, and those that come in by `order`: of equal keys the first gives its columns but for the
-    replaced ones, which the last one gives. Rows with a null in the key never meet another."""
+    replaced ones, which the last one gives. Rows with a null in the key never meet another: each has a number of its own in
+    the grouping, so that all rows go through one aggregation and what they come from is computed once."""
     rows = current.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull()
+    rows = rows.withColumn("_alone", F.when(~whole, F.monotonically_increasing_id()))
     place = F.struct("_side", order)
     others = [c for c in current.columns if c not in key]
     agg = [(F.max_by if c in replaced else F.min_by)(c, place).alias(c) for c in others]
-    met = rows.where(whole).groupBy(*key).agg(*agg).select(current.columns)
-    return met.unionByName(rows.where(~whole).select(current.columns))
+    return rows.groupBy(*key, "_alone").agg(*agg).select(current.columns)
 
 
 def inserted(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
