@@ -57,8 +57,11 @@ def stored_sales(spark, d):
     """All lines loaded into a new store in the shared folder: first lines of an order and part, then what comes later; one load is repeated."""
     place = W.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice", "l_discount", "l_tax")
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_orderkey") % 8).alias("bucket"), F.row_number().over(place).alias("seq"))
+    folder = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}.lines")  # numbered once for all loads
+    rows = spark.read.parquet(f"{folder}.lines")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("seq").schema.fields)
-    store = Store(f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}", schema, "bucket", ("l_orderkey", "l_partkey", "bucket"), ("l_quantity",))
+    store = Store(folder, schema, "bucket", ("l_orderkey", "l_partkey", "bucket"), ("l_quantity",))
     for name, part in (("first", "seq = 1"), ("later", "seq > 1"), ("first", "seq = 1")):
         store.load(rows.where(part), name)
     return store.table(spark)
