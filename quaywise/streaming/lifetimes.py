@@ -5,8 +5,9 @@ begins anew. Each stretch of validity gives one row, once the watermark has pass
 n (signs) and value (that of the last sign; of several at one time the greatest, a null before any other).
 
 A key's state is its open stretches, which late signs may lengthen or join: no more than fit between the watermark and the
-newest sign, whatever the number of signs. Signs come in pieces of bounded size, so that a key with a third of all rows
-isn't held at once. Rows without a time are left out; a null key is a key. Signs later than the watermark are dropped, as
+newest sign, whatever the number of signs. Keys share GROUPS groups by their hash, as a call of Python for each key costs far
+more than its signs; a group's state has the stretches of its keys. Signs come in pieces of bounded size, so that a key with a
+third of all rows isn't held at once. Rows without a time are left out; a null key is a key. Signs later than the watermark are dropped, as
 every stateful operator does. State and progress are in the checkpoint, so a restarted stream gives the same rows.
 """
 
@@ -21,6 +22,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _STRETCH = "first long, last long, n long, value string"
 _MICROS = 1_000_000
+#: Groups that keys are dealt to (those with the same components null); a stream that goes on from its checkpoint needs the same number.
+GROUPS = 2048
+_NAN = float("nan")
 
 
 def joined(stretches: list[tuple], lifetime: int) -> list[tuple]:
@@ -35,6 +39,11 @@ def joined(stretches: list[tuple], lifetime: int) -> list[tuple]:
     return out
 
 
+def _plain(x: object) -> object:
+    """A component of a key as Python has it; of what isn't a number one, so that it equals itself."""
+    return x.to_pydatetime() if isinstance(x, pd.Timestamp) else _NAN if x != x else x
+
+
 def _signs(rows: DataFrame, keys: list[str], time: str, value: Column) -> DataFrame:
     return rows.where(F.col(time).isNotNull()).select(*keys, time, F.unix_micros(time).alias("_at"), value.cast("string").alias("_value"))
 
@@ -49,28 +58,34 @@ def of_stream(rows: DataFrame, keys: list[str], time: str, value: Column, second
     lifetime = seconds * _MICROS
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in state.get[0]] if state.exists else []
+    def step(group: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[tuple]] = {}
+        for *key, first, last, n, value in state.get[0] if state.exists else ():
+            held.setdefault(tuple(map(_plain, key)), []).append((first, last, n, value))
         for piece in pieces:
-            new = [(int(t), int(t), 1, None if pd.isna(v) else v) for t, v in zip(piece["_at"], piece["_value"], strict=True)]
-            held = joined(held + new, lifetime)
+            new: dict[tuple, list[tuple]] = {}
+            parts = [[None] * len(piece) if none else map(_plain, piece[k].tolist()) for k, none in zip(keys, group[1:], strict=True)]
+            for *key, t, v in zip(*parts, piece["_at"].tolist(), piece["_value"].tolist(), strict=True):
+                new.setdefault(tuple(key), []).append((t, t, 1, v if isinstance(v, str) else None))
+            for key, signs in new.items():
+                held[key] = joined(held.get(key, []) + signs, lifetime)
         now = state.getCurrentWatermarkMs()
-        ended = [s for s in held if (s[1] + lifetime) // 1000 < now]
-        held = [s for s in held if (s[1] + lifetime) // 1000 >= now]
-        if held:
-            state.update((held,))
-            state.setTimeoutTimestamp((held[0][1] + lifetime) // 1000)
+        rows = [(*key, *s) for key, stretches in held.items() for s in stretches]
+        ended = [r for r in rows if (r[-3] + lifetime) // 1000 < now]
+        left = [r for r in rows if (r[-3] + lifetime) // 1000 >= now]
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(min(r[-3] + lifetime for r in left) // 1000)
         elif state.exists:
             state.remove()
         if ended:
-            out = pd.DataFrame(ended, columns=["first", "last", "n", "value"])
-            for name, part in zip(keys, key, strict=True):
-                out.insert(len(out.columns), name, [part] * len(out))
-            yield out[[*keys, "first", "last", "n", "value"]]
+            yield pd.DataFrame(ended, columns=[*keys, "first", "last", "n", "value"])
 
     signs = _signs(rows.withWatermark(time, late), keys, time, value)
+    group = {"_group": F.pmod(F.xxhash64(*keys), F.lit(GROUPS))} | {f"_none{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+    parts = ",".join(f"k{i}:{kinds[k]}" for i, k in enumerate(keys))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {_STRETCH}"
-    found = signs.groupBy(*keys).applyInPandasWithState(step, schema, "stretches array<struct<first:bigint,last:bigint,n:bigint,value:string>>", "append", GroupStateTimeout.EventTimeTimeout)
+    found = signs.withColumns(group).groupBy(*group).applyInPandasWithState(step, schema, f"stretches array<struct<{parts},first:bigint,last:bigint,n:bigint,value:string>>", "append", GroupStateTimeout.EventTimeTimeout)
     return _named(found, keys, lifetime)
 
 
