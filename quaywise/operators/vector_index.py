@@ -62,6 +62,9 @@ def direction(vectors: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int32()))
 
 
+direction = direction.asNondeterministic()  # else a filter on it computes it again, in a second Python worker of the task
+
+
 def cells_for(n: int) -> int:
     """About the square root of the number of vectors."""
     return max(1, min(MOST_CELLS, math.isqrt(max(n - 1, 0)) + 1))
@@ -136,7 +139,7 @@ def _with_cells(rows: DataFrame, centroids: np.ndarray, probes: int, vector: str
             ends = np.concatenate(([0], np.cumsum(known * found.shape[1]))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found[known].reshape(-1)))
 
-    return rows.withColumn("cells", near(F.col(vector)))
+    return rows.withColumn("cells", near.asNondeterministic()(F.col(vector)))  # computed once, see direction
 
 
 def indexed(vectors: DataFrame, cells: Cells) -> DataFrame:
@@ -176,8 +179,8 @@ def search(index: DataFrame, asked: DataFrame, k: int, metric: str = "cosine", b
     parts = F.broadcast(_parts(wanted, "_nv", block).join(_parts(asked, "_nq", block), "cell"))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = wanted.select("cell", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).join(parts, "cell").withColumn("vb", deal("id", "_nv")).withColumn("qb", every("_nq")).drop("_nv", "_nq")
-    right = asked.select("cell", F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")).join(parts, "cell").withColumn("qb", deal("id", "_nq")).withColumn("vb", every("_nv")).drop("_nv", "_nq")
+    left = wanted.select("cell", F.col("vec_id").alias("id"), retrieval.numbers(wanted, "embedding").alias("v")).join(parts, "cell").withColumn("vb", deal("id", "_nv")).withColumn("qb", every("_nq")).drop("_nv", "_nq")
+    right = asked.select("cell", F.col("query_id").alias("id"), retrieval.numbers(asked, "query").alias("v")).join(parts, "cell").withColumn("qb", deal("id", "_nq")).withColumn("vb", every("_nv")).drop("_nv", "_nq")
     group = ["cell", "vb", "qb"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(retrieval.best_of(metric, k), retrieval.FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from quaywise.operators import retrieval
+from quaywise.operators import retrieval, vector_index
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -38,3 +38,10 @@ def test_floats_are_shuffled_and_small_tables_dealt_into_blocks(spark):
     for q, own in pd.DataFrame(found.collect(), columns=found.columns).groupby("query_id"):
         want = sorted(v, key=lambda i: (-float((v[i] * v[q]).sum()), i))[:3]
         assert own.sort_values("rank")["vec_id"].tolist() == want
+
+def test_cells_are_computed_once(spark):
+    rows = vectors(spark, 200)
+    cells = vector_index.fitted(rows, cells=5)
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for df in (vector_index.indexed(rows, cells), vector_index.probed(asked, cells), rows.select(vector_index.direction("embedding").alias("u")).where("u is not null")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
