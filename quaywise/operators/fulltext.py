@@ -1,8 +1,8 @@
 """Full-text search: a positional inverted index, web-style queries, ranks by cover density.
 
 A text's words are its runs of letters and digits, lower-cased; French function words are left out but keep their places;
-the others lose their endings by a minimal stemmer (plural, feminine and infinitive endings, doubled last letters), all in
-column functions. The index has a row for each stem and document, with its places.
+the others lose their endings by a minimal stemmer (plural, feminine and infinitive endings, doubled last letters). Texts
+become words in column functions; tasks then stem the distinct words of some documents and sort numbers. The index has a row for each stem and document, with its places.
 
 A query is what a user types: words that must all occur, "words in quotes" that must follow each other at the same
 distances, -word or -"a phrase" that must not occur, and `or` between alternatives, each a conjunction of its own. Words that the
@@ -13,16 +13,23 @@ A document's rank is the sum over its covers: the shortest stretches that hold e
 (none inside another), each 0.1 over 1 plus the number of places in it that are none of the query's (where several items lie at one place and
 that number would be negative, half of what it holds behind its first); alternatives add up. A phrase counts at its last word. Places aren't capped, so long documents are ranked by all of their text.
 
-Only words that some query has are grouped by documents. An alternative meets the documents that hold the rarest of its words,
+Of a search only words that some query has are kept. An alternative meets the documents that hold the rarest of its words,
 in an equi-join whose smaller side the planner broadcasts if its size allows it; all else is looked up in the places of one
 document, however frequent a word is.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaywise.functions.scalar import chain
 
@@ -32,6 +39,9 @@ STOP_WORDS = (
     "son sur ta te tes toi ton tu un une vos votre vous c d j l à m n s t y est sont était été être a ai as ont avait avoir"
 ).split()
 WEIGHT = 0.1
+STOPPED, ENDING = frozenset(STOP_WORDS), re.compile("^(.{4,}?)é?e?r?s?$")
+#: Words that a task groups by term at a time.
+AT_ONCE = 1 << 19
 WORD, ITEM = r"[\p{L}\p{N}]+", r'-?"[^"]*"|[^\s"]+'
 
 
@@ -51,14 +61,62 @@ def terms(text: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(stemmed(x["w"]).alias("term"), x["place"].alias("place")))
 
 
+def stem(word: str) -> str:
+    """What `stemmed` makes of a word."""
+    if len(word) < 5:
+        return word
+    if word.endswith("x"):
+        return word[:-3] + "al" if word.endswith("aux") else word[:-1]
+    bare = ENDING.sub(r"\1", word)
+    return bare[:-1] if bare[-1] == bare[-2] else bare
+
+
+def _slices(words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (first, behind the last) of documents with so many words, AT_ONCE or a single document at most."""
+    ends, first = np.cumsum(words), 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, side="right")))
+        yield first, last
+        first = last
+
+
+def _by_terms(ids: pa.Array, texts: pa.ListArray) -> pa.RecordBatch:
+    """term, doc_id and ordered places of documents (lists of texts, these lists of words). Each distinct word is stemmed once."""
+    each = texts.flatten()
+    lengths = each.value_lengths().to_numpy()
+    doc = np.repeat(pc.list_parent_indices(texts).to_numpy(), lengths)
+    place = np.arange(1, len(doc) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = each.flatten().dictionary_encode()
+    stems = pa.array([None if w in STOPPED else stem(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    term = stems.indices.fill_null(-1).to_numpy()[words.indices.to_numpy()]
+    kept, n, far = term >= 0, max(len(stems.dictionary), 1), int(place.max(initial=0)) + 1
+    # document, term and place as one number, below 2^60 for AT_ONCE words
+    key = np.sort((doc[kept].astype(np.int64) * n + term[kept]) * far + place[kept])
+    pair, place = key // far, (key % far).astype(np.int32)
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pair)).astype(np.int32)), pa.array(place))
+    return pa.RecordBatch.from_arrays([stems.dictionary.take(pa.array(pair[starts] % n)), ids.take(pa.array(pair[starts] // n)), lists], ["term", "doc_id", "places"])
+
+
 def postings(docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """The inverted index of documents (doc_id, text): term, doc_id and the ordered places of the term. Rows of one id are one
-    document whose texts have their places side by side; null texts have no terms. Given queries, only their terms are in it."""
-    rows = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("t")).select("doc_id", "t.term", "t.place")
-    if queries is not None:
-        rows = rows.join(parsed(queries).select("term").distinct(), "term", "left_semi")
-    rows = rows.repartition("term", "doc_id")  # lists grow on one side of the shuffle only
-    return rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    document whose texts have their places side by side; null texts have no terms. Given queries, only their terms are in it.
+
+    Texts are brought together by document, not words with their places: a document's words are grouped where it is."""
+    words = F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)))
+    whole = docs.select("doc_id", "text").repartition("doc_id").groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", words.alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("words")
+            ends = np.append(0, np.cumsum(texts.flatten().value_lengths().to_numpy()))
+            counts = np.diff(ends[np.append(0, np.cumsum(texts.value_lengths().to_numpy()))])
+            for first, last in _slices(counts):
+                yield _by_terms(ids.slice(first, last - first), texts.slice(first, last - first))
+
+    fields = [T.StructField("term", T.StringType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("places", T.ArrayType(T.IntegerType()))]
+    rows = whole.mapInArrow(run, T.StructType(fields))
+    return rows if queries is None else rows.join(parsed(queries).select("term").distinct(), "term", "left_semi")
 
 
 def saved(index: DataFrame, path: str, buckets: int = 64) -> None:
